@@ -1,0 +1,65 @@
+"""Student-t two-sided p-value as an Arrow-batched pandas UDF.
+
+Used only on per-feature result rows (one row per feature), never on the data.
+p = I_x(dof/2, 1/2) with x = dof / (dof + t^2), the regularized incomplete beta
+function evaluated by its continued fraction (Lentz's method).
+"""
+
+from __future__ import annotations
+
+import math
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+
+def _betacf(a: float, b: float, x: float) -> float:
+    tiny, eps = 1e-300, 3e-16
+    qab, qap, qam = a + b, a + 1.0, a - 1.0
+    c, d = 1.0, 1.0 - qab * x / qap
+    d = 1.0 / (d if abs(d) > tiny else tiny)
+    h = d
+    for m in range(1, 300):
+        m2 = 2 * m
+        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
+        d = 1.0 + aa * d
+        d = 1.0 / (d if abs(d) > tiny else tiny)
+        c = 1.0 + aa / c
+        c = c if abs(c) > tiny else tiny
+        h *= d * c
+        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
+        d = 1.0 + aa * d
+        d = 1.0 / (d if abs(d) > tiny else tiny)
+        c = 1.0 + aa / c
+        c = c if abs(c) > tiny else tiny
+        delta = d * c
+        h *= delta
+        if abs(delta - 1.0) < eps:
+            break
+    return h
+
+
+def betainc_reg(a: float, b: float, x: float) -> float:
+    if x <= 0.0:
+        return 0.0
+    if x >= 1.0:
+        return 1.0
+    lbt = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
+    if x < (a + 1.0) / (a + b + 2.0):
+        return math.exp(lbt) * _betacf(a, b, x) / a
+    return 1.0 - math.exp(lbt) * _betacf(b, a, 1.0 - x) / b
+
+
+def t_two_sided_p_scalar(t: float, dof: float) -> float | None:
+    if t is None or dof is None or math.isnan(t) or math.isnan(dof) or dof <= 0:
+        return None
+    if math.isinf(t):
+        return 0.0
+    return betainc_reg(dof / 2.0, 0.5, dof / (dof + t * t))
+
+
+@F.pandas_udf(DoubleType())
+def t_two_sided_p(t: pd.Series, dof: pd.Series) -> pd.Series:
+    return pd.Series([t_two_sided_p_scalar(a, b) for a, b in zip(t.astype("float64"), dof.astype("float64"))],
+                     dtype="float64")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from claimlens.plans import queries_dashboard, queries_features  # noqa: F401
+from claimlens.plans import queries_dashboard, queries_features, queries_metrics  # noqa: F401
 from claimlens.plans.registry import REGISTRY
 
 
