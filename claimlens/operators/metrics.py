@@ -281,3 +281,13 @@ def class_balance_check(df: DataFrame, label: str) -> DataFrame:
     return (df.agg(F.try_divide(count_if(y == 1).cast("double"), F.count(y).cast("double")).alias("positive_rate"))
               .select("positive_rate", ((F.col("positive_rate") < lo) | (F.col("positive_rate") > hi))
                       .alias("severe_imbalance")))
+
+
+def with_balanced_weight(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
+    """Class-balanced weights n / (2 * n_class) for each row (MLlib ``weightCol``)."""
+    y = _c(label)
+    c = class_weight(df, label).select("n0", "n1").withColumn("__k", F.lit(1))
+    j = df.withColumn("__k", F.lit(1)).join(F.broadcast(c), "__k").drop("__k")
+    n = (F.col("n0") + F.col("n1")).cast("double")
+    w = F.when(y == 1, F.try_divide(n, 2.0 * F.col("n1"))).otherwise(F.try_divide(n, 2.0 * F.col("n0")))
+    return j.withColumn(out, w).drop("n0", "n1")

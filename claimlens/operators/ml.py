@@ -291,3 +291,22 @@ class ModelStore:
     @staticmethod
     def features_match(features: list[str], df: DataFrame) -> bool:
         return set(features) <= set(df.columns)
+
+
+# M18
+def model_report(scored: DataFrame, label: str, score: str, importances: DataFrame, top: int = 5) -> DataFrame:
+    """One long table: metrics at 0.5, AUC, best-F1 threshold and the top features."""
+    m = mt.classification_metrics(scored, label, score)
+    metric_rows = m.select(F.inline(F.array(*[F.struct(F.lit("metrics").alias("section"), F.lit(c).alias("name"),
+                                                       F.col(c).cast("double").alias("value"))
+                                              for c in ("accuracy", "precision", "recall", "f1", "tp", "fp", "fn",
+                                                        "tn")])))
+    auc = mt.roc_auc(scored, label, score).select(F.lit("metrics").alias("section"), F.lit("roc_auc").alias("name"),
+                                                  F.col("roc_auc").alias("value"))
+    best = mt.best_f1_threshold(scored, label, score).select(
+        F.inline(F.array(*[F.struct(F.lit("threshold").alias("section"), F.lit(c).alias("name"),
+                                    F.col(c).cast("double").alias("value"))
+                           for c in ("best_threshold", "best_f1", "best_precision", "best_recall")])))
+    feats = top_features(importances, top).select(F.lit("top_features").alias("section"),
+                                                  F.col("feature").alias("name"), F.col("share_pct").alias("value"))
+    return metric_rows.unionByName(auc).unionByName(best).unionByName(feats)
