@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from claimlens.plans import queries_dashboard, queries_features, queries_metrics, queries_ml  # noqa: F401
+from claimlens.plans import queries_dashboard, queries_features, queries_io, queries_metrics, queries_ml  # noqa: F401
 from claimlens.plans.registry import REGISTRY
 
 

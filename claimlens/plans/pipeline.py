@@ -16,6 +16,7 @@ from claimlens.functions import features as fx
 from claimlens.operators import relational as rel
 from claimlens.operators.stats import ClaimStats
 from claimlens.sources import claim_views as cv
+from claimlens.sources.materialize import materialize
 
 AMT = "InscClaimAmtReimbursed"
 DED = "DeductibleAmtPaid"
@@ -108,8 +109,13 @@ def finalize_features(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
                        *[c for c in kept.columns if not c.startswith("__key_")])
 
 
+def cleaned_claims(spark: SparkSession, sf_dir: str, cfg: EngineConfig = DEFAULT_CONFIG) -> DataFrame:
+    """Merged and cleaned claim table, written once: stats, quantiles and features all read it."""
+    return materialize(clean_claims(merged_claims(spark, sf_dir), cfg), "cleaned_claims")
+
+
 def feature_table(spark: SparkSession, sf_dir: str, cfg: EngineConfig = DEFAULT_CONFIG,
                   stats: ClaimStats | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    cleaned = clean_claims(merged_claims(spark, sf_dir), cfg)
+    cleaned = cleaned_claims(spark, sf_dir, cfg)
     stats = stats or ClaimStats.fit(cleaned, accuracy=cfg.quantile_accuracy)
     return finalize_features(with_claim_features(cleaned, stats), keep)

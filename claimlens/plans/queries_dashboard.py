@@ -14,7 +14,7 @@ from claimlens.sources.claim_views import provider_profile_key
 
 
 def _tables(spark, sf):
-    return op.claims_table(spark, sf), op.predictions_table(spark, sf), op.investigations_table(spark, sf)
+    return op.operational_tables(spark, sf)
 
 
 @register("provider_statistics", with_views(["claims", "predictions", "investigations"], f"""

@@ -20,7 +20,7 @@ CHRONIC_COLS = [f"ChronicCond_{n}" for n in CHRONIC_CONDITIONS]
 
 
 def _cleaned(spark, sf):
-    return pl.clean_claims(pl.merged_claims(spark, sf))
+    return pl.cleaned_claims(spark, sf)
 
 
 def _featured(spark, sf):

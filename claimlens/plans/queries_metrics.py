@@ -42,10 +42,11 @@ def sdiv(a: str, b: str) -> str:
 
 
 def scored_labels(spark, sf) -> DataFrame:
-    c = op.claims_table(spark, sf).select("claim_id", "provider_id", "claim_amount")
-    p = op.predictions_table(spark, sf).select("claim_id", "fraud_probability", "risk_level")
+    claims = op.claims_table(spark, sf)
+    c = claims.select("claim_id", "provider_id", "claim_amount")
+    p = op.predictions_table(spark, sf, claims=claims).select("claim_id", "fraud_probability", "risk_level")
     lab = cv.provider_labels(spark, sf)
-    j = p.join(c, "claim_id").join(lab, c.provider_id == lab.Provider)
+    j = p.join(c, "claim_id").join(lab, F.col("provider_id") == F.col("Provider"))
     return j.select("claim_id", "provider_id", F.when(F.col("PotentialFraud") == "Yes", 1).otherwise(0).alias("label"),
                     F.col("fraud_probability").cast("double").alias("score"), "fraud_probability", "risk_level",
                     "claim_amount")
@@ -378,8 +379,7 @@ FROM (SELECT c.provider_id, CAST(sum(c.claim_amount) AS DECIMAL(22,2)) AS total_
       LEFT JOIN investigations i ON c.claim_id = i.claim_id GROUP BY c.provider_id) t
 ORDER BY rank LIMIT 10"""))
 def q_rank_rows(spark, sf):
-    ps = dash.provider_statistics(op.claims_table(spark, sf), op.predictions_table(spark, sf),
-                                  op.investigations_table(spark, sf))
+    ps = dash.provider_statistics(*op.operational_tables(spark, sf))
     top = ps.orderBy(F.col("total_claim_amount").desc(), "provider_id").limit(10)
     # Window over a ten-row result: bounded, so a global order here is safe.
     w = Window.orderBy(F.col("total_claim_amount").desc(), "provider_id")

@@ -18,6 +18,7 @@ from claimlens.functions import rules
 from claimlens.operators.stats import patient_stats
 from claimlens.plans.pipeline import rolled_claims
 from claimlens.sources import claim_views as cv
+from claimlens.sources.materialize import materialize
 
 CLAIMS_COLUMNS = (
     "claim_id", "provider_id", "patient_id", "claim_amount", "deductible_paid", "patient_age",
@@ -27,8 +28,15 @@ CLAIMS_COLUMNS = (
 )
 
 
-def claims_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rolled = rolled_claims(spark, sf_dir)
+def claims_table(spark: SparkSession, sf_dir: str, materialized: bool = True) -> DataFrame:
+    """The claims table, written once per call (a stage boundary) unless ``materialized=False``."""
+    df = _claims_plan(spark, sf_dir)
+    return materialize(df, "claims") if materialized else df
+
+
+def _claims_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The roll-up feeds both the claim rows and the per-patient totals: write it once.
+    rolled = materialize(rolled_claims(spark, sf_dir), "rolled_claims")
     pat = patient_stats(rolled).select("BeneID", "PatientClaimCount", "PatientProviderCount")
     ben = cv.beneficiary(spark, sf_dir).select(
         "BeneID", "DOB", "Gender", "Race", "OPAnnualReimbursementAmt", "ChronicCond_Alzheimer",
@@ -93,8 +101,8 @@ def score_claims(claims: DataFrame, model_probability=None) -> DataFrame:
     )
 
 
-def predictions_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_claims(claims_table(spark, sf_dir))
+def predictions_table(spark: SparkSession, sf_dir: str, claims: DataFrame | None = None) -> DataFrame:
+    return score_claims(claims if claims is not None else claims_table(spark, sf_dir))
 
 
 def create_investigations(predictions: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -123,9 +131,9 @@ def create_investigations(predictions: DataFrame, existing: DataFrame | None = N
     )
 
 
-def investigations_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def investigations_table(spark: SparkSession, sf_dir: str, predictions: DataFrame | None = None) -> DataFrame:
     """R11 output with status/outcome/investigator spread over all branches (fixture rule)."""
-    inv = create_investigations(predictions_table(spark, sf_dir))
+    inv = create_investigations(predictions if predictions is not None else predictions_table(spark, sf_dir))
     k = F.regexp_extract(F.col("claim_id"), r"(\d+)$", 1).try_cast("bigint")
     status = F.when(k % 3 == 0, "OPEN").when(k % 3 == 1, "IN_PROGRESS").otherwise("CLOSED")
     outcome = (F.when(k % 5 == 0, "FRAUD_CONFIRMED").when(k % 5 == 1, "FRAUD_DENIED")
@@ -144,6 +152,13 @@ def investigations_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def operational_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(claims, predictions, investigations) sharing one written claims table."""
+    c = claims_table(spark, sf_dir)
+    p = predictions_table(spark, sf_dir, claims=c)
+    return c, p, investigations_table(spark, sf_dir, predictions=p)
+
+
 def settings_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         [(n, v, t, d) for n, v, t, d in DEFAULT_SETTINGS],
