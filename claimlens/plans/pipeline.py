@@ -79,8 +79,10 @@ def with_claim_features(df: DataFrame, stats: ClaimStats) -> DataFrame:
     age = F.col("Age")
     extra = [*fx.age_flags(age, amt), fx.age_risk_group(age)]
     if "NoOfMonths_PartBCov" in out.columns:
-        extra += fx.coverage_features(F.col("NoOfMonths_PartACov"), F.col("NoOfMonths_PartBCov"),
-                                      F.col("IPAnnualReimbursementAmt"), F.col("OPAnnualReimbursementAmt"))
+        def opt(c):
+            return F.col(c) if c in out.columns else F.lit(None).cast("double")
+        extra += fx.coverage_features(opt("NoOfMonths_PartACov"), F.col("NoOfMonths_PartBCov"),
+                                      opt("IPAnnualReimbursementAmt"), opt("OPAnnualReimbursementAmt"))
     phys = fx.multi_physician(out)
     if phys is not None:
         extra.append(phys)
