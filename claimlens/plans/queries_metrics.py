@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimlens.config import FEATURE_CATEGORIES, FEATURE_CATEGORY_DEFAULT, REPORT_FEATURE_PATTERN, THRESHOLD_POLICIES
+from claimlens.config import CHRONIC_CONDITIONS, FEATURE_CATEGORIES, FEATURE_CATEGORY_DEFAULT, REPORT_FEATURE_PATTERN, THRESHOLD_POLICIES
 from claimlens.functions import rules
 from claimlens.operators import dashboard as dash
 from claimlens.operators import metrics as mt
@@ -303,14 +303,28 @@ def q_cv_summary(spark, sf):
 
 # --- profiling (A12-A17, P32, P33, W1) ------------------------------------------------------------
 
-@register("null_profile", None)
+# Column order of the merged claim table (key of each left join first, as Spark's USING join emits).
+MERGED_COLUMNS = ["BeneID", "Provider", "PotentialFraud", "ClaimID", "InscClaimAmtReimbursed", "DeductibleAmtPaid",
+                  "AdmissionDt", "DischargeDt", "ClaimStartDt", "ClaimEndDt", "DOB", "DOD", "Gender", "Race", "State",
+                  "County", "RenalDiseaseIndicator", "NoOfMonths_PartACov", "NoOfMonths_PartBCov",
+                  *[f"ChronicCond_{c}" for c in CHRONIC_CONDITIONS],
+                  "IPAnnualReimbursementAmt", "IPAnnualDeductibleAmt", "OPAnnualReimbursementAmt",
+                  "OPAnnualDeductibleAmt"]
+
+
+@register("null_profile", with_views(["merged"], "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, count(*) - count({c}) AS null_count FROM merged" for c in MERGED_COLUMNS)))
 def q_null_profile(spark, sf):
     return pf.null_profile(pl.merged_claims(spark, sf))
 
 
-@register("table_profile", None)
+@register("table_profile", with_views(["merged"], "SELECT column_name, position, (SELECT count(*) FROM merged) AS row_count, "
+                                      f"{len(MERGED_COLUMNS)} AS column_count FROM (VALUES "
+                                      + ", ".join(f"('{c}', {i + 1})" for i, c in enumerate(MERGED_COLUMNS))
+                                      + ") t(column_name, position)"))
 def q_table_profile(spark, sf):
-    return pf.table_profile(pl.merged_claims(spark, sf))
+    """Row and column counts and column positions (types are engine-specific names: see operator)."""
+    return pf.table_profile(pl.merged_claims(spark, sf)).drop("data_type")
 
 
 @register("cardinality_profile", with_views(["merged"], """SELECT column_name, count(DISTINCT value) AS distinct_values
@@ -395,7 +409,42 @@ def q_label_date_spread(spark, sf):
     return pf.label_date_spread(pl.merged_claims(spark, sf), "PotentialFraud", "ClaimEndDt")
 
 
-@register("label_ttest", None)
+def _ttest_sql() -> str:
+    def agg(c):
+        parts = []
+        for g in (1, 0):
+            v = f"CASE WHEN PotentialFraud = {g} THEN {c} END"
+            parts += [f"count({v}) AS n{g}", f"sum({v}) AS s{g}", f"sum({v} * {v}) AS q{g}"]
+        return f"SELECT '{c}' AS feature, " + ", ".join(parts) + " FROM ft"
+    unions = "\nUNION ALL\n".join(agg(c) for c in CONTRAST_FEATURES)
+    ft = ("SELECT coalesce(PotentialFraud, 0) AS PotentialFraud, "
+          + ", ".join(f"coalesce({c}, 0) AS {c}" for c in CONTRAST_FEATURES) + " FROM featured")
+
+    def var(g):
+        return (f"CAST(CAST(n{g} AS DECIMAL(20,0)) * q{g} - s{g} * s{g} AS DOUBLE) "
+                f"/ CAST(nullif(n{g} * (n{g} - 1), 0) AS DOUBLE)")
+    body = f"""SELECT feature, fraud_mean, normal_mean, fraud_mean / nullif(normal_mean, 0) AS ratio,
+  (fraud_mean - normal_mean) / nullif(sqrt(sp2 * (1.0 / CAST(n1 AS DOUBLE) + 1.0 / CAST(n0 AS DOUBLE))), 0) AS t_stat,
+  dof,
+  CASE WHEN fraud_mean / nullif(normal_mean, 0) > 2 THEN 'much_higher'
+       WHEN fraud_mean / nullif(normal_mean, 0) < 0.5 THEN 'much_lower' ELSE 'moderate' END AS band
+FROM (SELECT *, (CAST(n1 - 1 AS DOUBLE) * v1 + CAST(n0 - 1 AS DOUBLE) * v0) / CAST(nullif(dof, 0) AS DOUBLE) AS sp2
+      FROM (SELECT feature, n1, n0, n1 + n0 - 2 AS dof,
+                   CAST(s1 AS DOUBLE) / CAST(nullif(n1, 0) AS DOUBLE) AS fraud_mean,
+                   CAST(s0 AS DOUBLE) / CAST(nullif(n0, 0) AS DOUBLE) AS normal_mean,
+                   {var(1)} AS v1, {var(0)} AS v0 FROM sums) a) b"""
+    return with_views(["featured"], body, extra=[("ft", ft), ("sums", unions)])
+
+
+@register("label_ttest", _ttest_sql())
 def q_label_ttest(spark, sf):
+    """Pooled two-sample t statistic and degrees of freedom per feature (p-value: label_ttest_pvalue)."""
+    ft = pl.feature_table(spark, sf)
+    return pf.label_ttest(ft, "PotentialFraud", CONTRAST_FEATURES, with_p=False)
+
+
+@register("label_ttest_pvalue", None)
+def q_label_ttest_pvalue(spark, sf):
     ft = pl.feature_table(spark, sf)
-    return pf.label_ttest(ft, "PotentialFraud", CONTRAST_FEATURES)
+    return pf.label_ttest(ft, "PotentialFraud", CONTRAST_FEATURES).select("feature", "t_stat", "dof", "p_value",
+                                                                          "significant")
