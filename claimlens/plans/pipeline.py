@@ -30,8 +30,13 @@ def rolled_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.claim_rollup(claim_lines(spark, sf_dir))
 
 
-def merged_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = rolled_claims(spark, sf_dir)
+def rolled_claims_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rolled-up claim table, written once (it is read by several joins downstream)."""
+    return materialize(rolled_claims(spark, sf_dir), "rolled_claims")
+
+
+def merged_claims(spark: SparkSession, sf_dir: str, claims: DataFrame | None = None) -> DataFrame:
+    claims = claims if claims is not None else rolled_claims_table(spark, sf_dir)
     merged = rel.label_left_claims(cv.provider_labels(spark, sf_dir), claims)
     return rel.claims_left_beneficiary(merged, cv.beneficiary(spark, sf_dir))
 

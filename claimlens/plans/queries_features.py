@@ -68,7 +68,7 @@ def q_claim_rollup(spark, sf):
 @register("label_left_claims", with_views(["labels_v", "rollup"],
                                           "SELECT * FROM labels_v LEFT JOIN rollup USING (Provider)"))
 def q_label_left_claims(spark, sf):
-    return rel.label_left_claims(cv.provider_labels(spark, sf), pl.rolled_claims(spark, sf))
+    return rel.label_left_claims(cv.provider_labels(spark, sf), pl.rolled_claims_table(spark, sf))
 
 
 @register("claims_left_beneficiary", with_views(["rollup", "beneficiary"],

@@ -16,7 +16,7 @@ from claimlens.config import DEFAULT_SETTINGS, PROVIDER_PROFILES
 from claimlens.functions import features as fx
 from claimlens.functions import rules
 from claimlens.operators.stats import patient_stats
-from claimlens.plans.pipeline import rolled_claims
+from claimlens.plans.pipeline import rolled_claims_table
 from claimlens.sources import claim_views as cv
 from claimlens.sources.materialize import materialize
 
@@ -36,7 +36,7 @@ def claims_table(spark: SparkSession, sf_dir: str, materialized: bool = True) ->
 
 def _claims_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The roll-up feeds both the claim rows and the per-patient totals: write it once.
-    rolled = materialize(rolled_claims(spark, sf_dir), "rolled_claims")
+    rolled = rolled_claims_table(spark, sf_dir)
     pat = patient_stats(rolled).select("BeneID", "PatientClaimCount", "PatientProviderCount")
     ben = cv.beneficiary(spark, sf_dir).select(
         "BeneID", "DOB", "Gender", "Race", "OPAnnualReimbursementAmt", "ChronicCond_Alzheimer",
