@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from claimlens.config import (BALANCE_BAND, BUSINESS_METRIC_THRESHOLDS, FLAG_THRESHOLD, MINUTES_PER_CASE,
                               RECALL_MINIMUM, RECALL_STRETCH, RECOVERY_RATE, THRESHOLD_POLICIES)
 from claimlens.operators.ranking import prefix_sums
+from claimlens.sources.materialize import materialize
 
 
 def _c(x) -> Column:
@@ -141,26 +142,30 @@ def class_report(df: DataFrame, label: str, score: str, threshold: float = 0.5)
 
 # per-distinct-score counts and running sums
 def score_counts(df: DataFrame, label: str, score: str, group: tuple[str, ...] = ()) -> DataFrame:
+    """One row per (group, distinct score) with positive/negative counts, written once.
+
+    The table is bounded by the number of distinct scores; writing it means the
+    scan/join chain behind ``df`` runs once although the curve helpers read the
+    counts several times (slice bounds, running sums, totals)."""
     y = _c(label)
-    return (df.where(_c(score).isNotNull() & y.isin(0, 1))
-              .groupBy(*group, _c(score).cast("double").alias("score"))
-              .agg(count_if(y == 1).cast("bigint").alias("pos"), count_if(y == 0).cast("bigint").alias("neg")))
+    counts = (df.where(_c(score).isNotNull() & y.isin(0, 1))
+                .groupBy(*group, _c(score).cast("double").alias("score"))
+                .agg(count_if(y == 1).cast("bigint").alias("pos"), count_if(y == 0).cast("bigint").alias("neg")))
+    return materialize(counts, "score_counts")
 
 
-def _desc_cumulative(df: DataFrame, label: str, score: str, group: tuple[str, ...]) -> DataFrame:
-    c = score_counts(df, label, score, group)
+def _desc_cumulative(c: DataFrame, group: tuple[str, ...]) -> DataFrame:
     return prefix_sums(c, ["score"], {"tp": F.col("pos"), "fp": F.col("neg")}, group, descending=True)
 
 
-def _totals(df: DataFrame, label: str, score: str, group: tuple[str, ...]) -> DataFrame:
-    c = score_counts(df, label, score, group)
+def _totals(c: DataFrame, group: tuple[str, ...]) -> DataFrame:
     return c.groupBy(*group).agg(F.sum("pos").alias("n1"), F.sum("neg").alias("n0"))
 
 
 # A25
 def roc_curve(df: DataFrame, label: str, score: str, group: tuple[str, ...] = ()) -> DataFrame:
-    cum = _desc_cumulative(df, label, score, group)
-    tot = _totals(df, label, score, group)
+    c = score_counts(df, label, score, group)
+    cum, tot = _desc_cumulative(c, group), _totals(c, group)
     if group:
         j = cum.join(tot, list(group), "inner")
     else:
@@ -189,7 +194,7 @@ def average_precision(df: DataFrame, label: str, score: str, group: tuple[str, .
 
     The per-threshold terms are exact ratios; their double sum depends on
     summation order in the last bits, so the result is rounded to ``digits``."""
-    cum = _desc_cumulative(df, label, score, group)
+    cum = _desc_cumulative(score_counts(df, label, score, group), group)
     term = F.col("pos").cast("double") * F.col("tp").cast("double") / (F.col("tp") + F.col("fp")).cast("double")
     agg = [F.sum(term).alias("__s"), F.sum("pos").alias("n1")]
     g = cum.groupBy(*group).agg(*agg) if group else cum.agg(*agg)
@@ -199,8 +204,8 @@ def average_precision(df: DataFrame, label: str, score: str, group: tuple[str, .
 
 # A28
 def best_f1_threshold(df: DataFrame, label: str, score: str, default: float = 0.5) -> DataFrame:
-    cum = _desc_cumulative(df, label, score, ())
-    tot = _totals(df, label, score, ()).withColumn("__k", F.lit(1))
+    c = score_counts(df, label, score, ())
+    cum, tot = _desc_cumulative(c, ()), _totals(c, ()).withColumn("__k", F.lit(1))
     j = cum.withColumn("__k", F.lit(1)).join(F.broadcast(tot), "__k")
     p = safe_div(F.col("tp"), F.col("tp") + F.col("fp"))
     r = safe_div(F.col("tp"), F.col("n1"))

@@ -61,3 +61,15 @@ def test_quantiles_exact_linear(spark):
     q = st.ClaimStats.fit(df).quantiles
     # linear interpolation over 1..10: position (n-1)*p
     assert abs(q["amt_q80"] - 8.2) < 1e-12 and abs(q["amt_q99"] - 9.91) < 1e-12
+
+
+def test_label_join_paths_agree(spark):
+    from claimlens.operators import relational as rel
+    labels = spark.createDataFrame([("P1", "Yes"), ("P2", "No"), ("P3", "No")], "Provider string, PotentialFraud string")
+    claims = spark.createDataFrame([("C1", "P1", 1), ("C2", "P1", 2), ("C3", "P2", 3), ("C4", "P9", 4)],
+                                   "ClaimID string, Provider string, v int")
+    a = rel.label_left_claims(labels, claims)                      # broadcast + anti-join rewrite
+    b = rel.label_left_claims(labels, claims, broadcast_rows=0)    # plain outer join
+    assert a.columns == b.columns
+    assert sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
+    assert a.count() == 4  # P1 x2, P2, P3 with no claims; P9 (unlabelled) dropped
