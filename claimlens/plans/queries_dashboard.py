@@ -331,3 +331,32 @@ def q_typed_setting(spark, sf):
     counts = j.groupBy("setting_name").agg(F.count("prediction_id").alias("flagged"))
     return (s.select("setting_name").join(counts, "setting_name", "left")
              .select("setting_name", F.coalesce(F.col("flagged"), F.lit(0)).alias("flagged")))
+
+
+_REASONS_SQL = """CASE WHEN fp.fraud_probability >= 0.8 THEN concat_ws('; ',
+    CASE WHEN c.claim_amount > 50000 THEN 'Very high claim amount' END,
+    CASE WHEN c.patient_total_claims > 15 THEN 'Frequent claimant pattern' END,
+    CASE WHEN c.hospital_stay_days < 2 AND c.claim_amount > 20000 THEN 'Short stay with expensive treatment' END)
+  WHEN fp.fraud_probability >= 0.21 THEN concat_ws('; ',
+    CASE WHEN c.claim_amount > 25000 THEN 'Above-average claim amount' END,
+    CASE WHEN c.patient_age < 30 AND c.claim_amount > 30000 THEN 'Young patient with high claim' END,
+    CASE WHEN c.patient_provider_count > 5 THEN 'Multiple providers used by patient' END,
+    CASE WHEN c.hospital_stay_days < 2 AND c.claim_amount > 20000 THEN 'Short hospital stay with high cost' END,
+    CASE WHEN c.patient_total_claims > 5 THEN 'Multiple previous claims' END)
+  ELSE concat_ws('; ', 'Normal claim amount range', 'Reasonable patient history',
+    CASE WHEN (CAST(c.chronic_diabetes AS INTEGER) + CAST(c.chronic_heartfailure AS INTEGER)
+               + CAST(c.chronic_cancer AS INTEGER) + CAST(c.chronic_kidney AS INTEGER)) > 0
+         THEN 'Medical conditions justify costs' END) END"""
+
+
+@register("risk_explanations", with_views(["claims", "predictions"], f"""
+SELECT fp.claim_id, fp.risk_level, {_REASONS_SQL} AS reasons
+FROM predictions fp JOIN claims c ON fp.claim_id = c.claim_id"""))
+def q_risk_explanations(spark, sf):
+    c, p, _ = _tables(spark, sf)
+    j = p.select("claim_id", "risk_level", "fraud_probability").join(c, "claim_id")
+    col = F.col
+    reasons = rules.risk_explanations(col("fraud_probability"), col("claim_amount"), col("patient_total_claims"),
+                                      col("hospital_stay_days"), col("patient_age"), col("patient_provider_count"),
+                                      op.chronic4(c))
+    return j.select("claim_id", "risk_level", F.concat_ws("; ", reasons).alias("reasons"))

@@ -315,3 +315,27 @@ def q_compact_feature_vector(spark, sf):
     from claimlens.functions.vectors import compact_feature_columns
     c = op.claims_table(spark, sf)
     return c.select("claim_id", *compact_feature_columns())
+
+
+@register("live_indicators", with_views(["featured"], f"""SELECT ClaimID, Provider,
+  coalesce(CAST({AMT} AS DOUBLE) / CAST(nullif(ProviderAvgClaim, 0) AS DOUBLE) > 3, false) AS high_vs_provider_avg,
+  coalesce(PatientClaimCount > 20, false) AS frequent_patient,
+  coalesce(PatientProviderCount > 5, false) AS provider_shopping,
+  coalesce({AMT} > 75000, false) AS extreme_value,
+  coalesce(FullYearCoverage = 1, false) AS reducer_full_coverage,
+  coalesce(PatientTotalSpend > 100000, false) AS reducer_high_medical_need,
+  coalesce(RaceRiskGroup = 1, false) AS reducer_low_risk_group,
+  round(CASE WHEN CAST({AMT} AS DOUBLE) > -1 THEN ln(1 + CAST({AMT} AS DOUBLE)) END, {LOG_DIGITS}) AS claim_amount_log,
+  CAST(PatientTotalSpend AS DOUBLE) / CAST(greatest(PatientClaimCount, 1) AS DOUBLE) AS patient_avg_claim,
+  CAST(OPAnnualReimbursementAmt AS DOUBLE) / 12.0 AS op_monthly_avg
+FROM featured"""))
+def q_live_indicators(spark, sf):
+    """The live page's risk indicators and reducers for every claim."""
+    from claimlens.functions import rules
+    f = _featured(spark, sf)
+    c = F.col
+    cols = rules.live_indicators(c(AMT), c("ProviderAvgClaim"), c("PatientClaimCount"), c("PatientProviderCount"),
+                                 c("FullYearCoverage") == 1, c("PatientTotalSpend"), c("RaceRiskGroup"),
+                                 c("OPAnnualReimbursementAmt"))
+    out = f.select("ClaimID", "Provider", *cols)
+    return out.withColumn("claim_amount_log", F.round("claim_amount_log", LOG_DIGITS))

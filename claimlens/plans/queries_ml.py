@@ -22,6 +22,7 @@ from claimlens.plans import pipeline as pl
 from claimlens.plans.queries_features import FINAL_FEATURES
 from claimlens.plans.registry import register
 from claimlens.session import ensure_checkpoint_dir
+from claimlens.sources.materialize import materialize
 
 LABEL = "label"
 FEATURES = [c for c in FINAL_FEATURES if c != "PotentialFraud"]
@@ -31,14 +32,15 @@ GBT_MAIN = dict(n_estimators=100, max_depth=6, learning_rate=0.1, random_state=S
 
 
 def training_table(spark, sf) -> DataFrame:
+    """(key, label, features...) written once: splits, folds and every fit read the same files."""
     ft = pl.feature_table(spark, sf, keep=("ClaimID", "Provider"))
     key = F.coalesce(F.col("ClaimID"), F.concat(F.lit("P"), F.col("Provider")))
-    return ft.select(key.alias("key"), F.col("PotentialFraud").cast("int").alias(LABEL),
-                     *[F.col(c).cast("double").alias(c) for c in FEATURES])
+    return materialize(ft.select(key.alias("key"), F.col("PotentialFraud").cast("int").alias(LABEL),
+                                 *[F.col(c).cast("double").alias(c) for c in FEATURES]), "training_table")
 
 
 def _split(spark, sf, fraction=0.2):
-    t = ml.stratified_split(training_table(spark, sf), LABEL, "key", fraction)
+    t = materialize(ml.stratified_split(training_table(spark, sf), LABEL, "key", fraction), "split")
     train = t.where(F.col("split") == "train").drop("split")
     test = t.where(F.col("split") == "test").drop("split")
     return train, test
