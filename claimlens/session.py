@@ -54,3 +54,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def recommended_conf(input_bytes: int, executors: int = 1000, cores_per_executor: int = 4,
+                     target_partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
+    """Cluster settings sized from the input volume (e.g. 100 TB on 1000 executors).
+
+    Shuffle partitions are sized so each holds about ``target_partition_bytes``
+    (at least two waves of tasks); AQE coalesces them back when stages shrink
+    (the roll-up and the per-provider aggregates are far smaller than the scan)
+    and splits skewed join partitions. Scan splits use the same target size.
+    """
+    slots = executors * cores_per_executor
+    partitions = max(2 * slots, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes),
+        # Broadcast only what AQE measured to be small; larger sides sort-merge join.
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    }

@@ -88,3 +88,10 @@ def test_feature_category(spark):
                                 ("Gender",)], "f string")
     got = [r[0] for r in df.select(rules.feature_category(F.col("f"))).collect()]
     assert got == ["custom", "financial", "time_age", "medical", "other"]
+
+
+def test_recommended_conf_scales():
+    from claimlens.session import recommended_conf
+    c = recommended_conf(100 * 1024 ** 4, executors=1000, cores_per_executor=4)
+    assert int(c["spark.sql.shuffle.partitions"]) == 409600
+    assert recommended_conf(10 ** 6)["spark.sql.shuffle.partitions"] == str(8000)
