@@ -186,9 +186,9 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 
 def fill_numeric_zero(df: DataFrame) -> DataFrame:
-    cols = numeric_columns(df)
-    return df.select(*[F.coalesce(F.col(c), F.lit(0).cast(df.schema[c].dataType)).alias(c)
-                       if c in cols else F.col(c) for c in df.columns])
+    fields = df.schema.fields  # one schema round trip, not one per column
+    return df.select(*[F.coalesce(F.col(f.name), F.lit(0).cast(f.dataType)).alias(f.name)
+                       if isinstance(f.dataType, T.NumericType) else F.col(f.name) for f in fields])
 
 
 def string_columns(df: DataFrame) -> list[str]:

@@ -78,22 +78,23 @@ def with_claim_features(df: DataFrame, stats: ClaimStats) -> DataFrame:
         fx.claim_amount_log(amt),
         *fx.value_flags(amt, q["amt_q95"], q["amt_q99"]),
     ]
-    if DED in out.columns:
+    present = set(out.columns)
+    if DED in present:
         cols += fx.deductible_flags(F.col(DED), amt)
     out = out.select("*", *cols).drop(DED)
     age = F.col("Age")
     extra = [*fx.age_flags(age, amt), fx.age_risk_group(age)]
-    if "NoOfMonths_PartBCov" in out.columns:
+    if "NoOfMonths_PartBCov" in present:
         def opt(c):
-            return F.col(c) if c in out.columns else F.lit(None).cast("double")
+            return F.col(c) if c in present else F.lit(None).cast("double")
         extra += fx.coverage_features(opt("NoOfMonths_PartACov"), F.col("NoOfMonths_PartBCov"),
                                       opt("IPAnnualReimbursementAmt"), opt("OPAnnualReimbursementAmt"))
     phys = fx.multi_physician(out)
     if phys is not None:
         extra.append(phys)
-    if "Race" in out.columns:
+    if "Race" in present:
         extra.append(fx.race_risk_group(F.col("Race")))
-    if "Gender" in out.columns:
+    if "Gender" in present:
         extra.append(fx.is_male(F.col("Gender")))
     return out.select("*", *extra)
 
