@@ -54,14 +54,15 @@ def scored_labels(spark, sf) -> DataFrame:
 
 @register("roc_auc", with_views(["score_counts"], """SELECT
   CAST(sum(CAST(pos AS HUGEINT) * (2 * negle - neg)) AS DOUBLE) / (2.0 * CAST(sum(neg) AS DOUBLE) * CAST(sum(pos) AS DOUBLE))
-    AS roc_auc, sum(pos) AS n1, sum(neg) AS n0
+    AS roc_auc, CAST(sum(pos) AS BIGINT) AS n1, CAST(sum(neg) AS BIGINT) AS n0
 FROM (SELECT *, sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS negle
       FROM score_counts) t"""), bench=True)
 def q_roc_auc(spark, sf):
     return mt.roc_auc(scored_labels(spark, sf), "label", "score")
 
 
-@register("roc_curve", with_views(["cum_desc", "totals"], f"""SELECT score AS threshold, tp, fp,
+@register("roc_curve", with_views(["cum_desc", "totals"], f"""SELECT score AS threshold, CAST(tp AS BIGINT) AS tp,
+  CAST(fp AS BIGINT) AS fp,
   {sdiv('tp', 'n1')} AS tpr, {sdiv('fp', 'n0')} AS fpr FROM cum_desc, totals"""))
 def q_roc_curve(spark, sf):
     return mt.roc_curve(scored_labels(spark, sf), "label", "score")
@@ -387,7 +388,8 @@ def q_feature_name_regex(spark, sf):
 
 
 @register("rank_rows", with_views(["claims", "predictions", "investigations"], """SELECT
-  row_number() OVER (ORDER BY total_claim_amount DESC, provider_id) AS rank, provider_id, total_claim_amount
+  CAST(row_number() OVER (ORDER BY total_claim_amount DESC, provider_id) AS INTEGER) AS rank, provider_id,
+  total_claim_amount
 FROM (SELECT c.provider_id, CAST(sum(c.claim_amount) AS DECIMAL(22,2)) AS total_claim_amount
       FROM claims c LEFT JOIN predictions fp ON c.claim_id = fp.claim_id
       LEFT JOIN investigations i ON c.claim_id = i.claim_id GROUP BY c.provider_id) t
