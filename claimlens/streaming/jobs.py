@@ -33,26 +33,36 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex}")
 
 
-def stage_files(df: DataFrame, path: str, files: int, order_col: str | None = None) -> T.StructType:
-    """Write ``df`` as ``files`` arriving batches of Parquet files.
-
-    With ``order_col`` the batches are consecutive time ranges written one after
-    the other, so the file source (oldest file first) sees them in time order,
-    as a live feed would deliver them."""
+def _feed_parts(df: DataFrame, parts: int, order_col: str | None) -> list:
+    """Row filters splitting ``df`` into ``parts`` arriving batches (time ranges when ordered)."""
     if not order_col:
-        df.repartition(files).write.mode("overwrite").parquet(path)
-        return df.schema
+        h = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns[:1]]), F.lit(parts))
+        return [h == i for i in range(parts)]
     t = F.col(order_col).cast("timestamp").cast("double")
     bounds = df.select(t.alias("__t")).agg(
-        F.percentile_approx("__t", [i / files for i in range(1, files)], 10000)).first()[0] or []
+        F.percentile_approx("__t", [i / parts for i in range(1, parts)], 10000)).first()[0] or []
     edges = [None] + sorted(set(float(b) for b in bounds)) + [None]
+    conds = []
     for lo, hi in zip(edges[:-1], edges[1:]):
         cond = F.lit(True)
         if lo is not None:
             cond = cond & (t > lo)
         if hi is not None:
             cond = cond & (t <= hi)
-        df.where(cond).coalesce(1).write.mode("append").parquet(path)
+        conds.append(cond)
+    return conds
+
+
+def feed_and_run(df: DataFrame, path: str, parts: int, order_col: str | None, run_once) -> T.StructType:
+    """Deliver ``df`` to ``path`` as ``parts`` arriving batches, running the stream after each.
+
+    Each arrival is written, then the streaming query runs with ``availableNow``
+    on the same checkpoint, so batches are processed strictly in arrival order
+    (time order when ``order_col`` is given) -- as a live feed would deliver them
+    -- independent of file modification-time resolution."""
+    for cond in _feed_parts(df, parts, order_col):
+        df.where(cond).write.mode("append").parquet(path)
+        run_once()
     return df.schema
 
 
@@ -137,9 +147,10 @@ def run_stream_score(spark: SparkSession, sf_dir: str, files: int | None = None)
     history = claims.select("patient_id", "patient_total_claims", "patient_provider_count").distinct()
     history.write.mode("overwrite").parquet(os.path.join(base, "history"))
     arriving = claims.drop("patient_total_claims", "patient_provider_count")
-    schema = stage_files(arriving, os.path.join(base, "in"), files or _feed_files(arriving), "submission_date")
-    stream_score_claims(spark, os.path.join(base, "in"), schema, os.path.join(base, "history"),
-                        os.path.join(base, "out"), os.path.join(base, "ckpt"))
+    src = os.path.join(base, "in")
+    feed_and_run(arriving, src, files or _feed_files(arriving), "submission_date",
+                 lambda: stream_score_claims(spark, src, arriving.schema, os.path.join(base, "history"),
+                                             os.path.join(base, "out"), os.path.join(base, "ckpt")))
     return spark.read.parquet(os.path.join(base, "out")).drop("batch")
 
 
@@ -148,15 +159,17 @@ def run_stream_daily(spark: SparkSession, sf_dir: str, files: int | None = None,
     rows = c.select("claim_id", "submission_date", "claim_amount").join(
         p.select("claim_id", "risk_level", "fraud_probability"), "claim_id", "left")
     base = _scratch(spark, "daily")
-    schema = stage_files(rows, os.path.join(base, "in"), files or _feed_files(c), "submission_date")
-    stream_daily_summary(spark, os.path.join(base, "in"), schema, os.path.join(base, "out"),
-                         os.path.join(base, "ckpt"), delay)
+    src = os.path.join(base, "in")
+    feed_and_run(rows, src, files or _feed_files(c), "submission_date",
+                 lambda: stream_daily_summary(spark, src, rows.schema, os.path.join(base, "out"),
+                                              os.path.join(base, "ckpt"), delay))
     return spark.read.parquet(os.path.join(base, "out"))
 
 
 def run_stream_dashboard(spark: SparkSession, sf_dir: str, files: int | None = None) -> DataFrame:
     p = op.predictions_table(spark, sf_dir).select("prediction_id", "risk_level", "fraud_probability")
     base = _scratch(spark, "dash")
-    schema = stage_files(p, os.path.join(base, "in"), files or _feed_files(p))
-    stream_dashboard(spark, os.path.join(base, "in"), schema, os.path.join(base, "out"), os.path.join(base, "ckpt"))
+    src = os.path.join(base, "in")
+    feed_and_run(p, src, files or _feed_files(p), None,
+                 lambda: stream_dashboard(spark, src, p.schema, os.path.join(base, "out"), os.path.join(base, "ckpt")))
     return spark.read.parquet(os.path.join(base, "out"))

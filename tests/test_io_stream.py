@@ -45,3 +45,25 @@ def test_csv_scan_schema(spark, sf):
     df = catalog.queries()["scan_claims_csv"](spark, sf)
     assert dict(df.dtypes)["InscClaimAmtReimbursed"].startswith("decimal")
     assert df.where(F.col("Age").isNull()).count() == 0
+
+
+def test_daily_stream_drops_late_rows(spark, tmp_path):
+    import datetime as dt
+    from decimal import Decimal
+    from claimlens.streaming import jobs
+
+    schema = "claim_id string, submission_date timestamp_ntz, claim_amount decimal(12,2), risk_level string, " \
+             "fraud_probability decimal(5,4)"
+
+    def rows(day, n):
+        return [(f"c{day}-{i}", dt.datetime(2024, 1, day, 12), Decimal("100.00"), "Low Risk", Decimal("0.1000"))
+                for i in range(n)]
+    src, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ckpt")
+    first = spark.createDataFrame(rows(10, 3) + rows(11, 2) + rows(13, 1), schema)
+    first.coalesce(1).write.parquet(src)
+    jobs.stream_daily_summary(spark, src, first.schema, out, ck, "1 day")
+    # arrives after the watermark (day 13 - 1 day) passed day 1: dropped as late
+    spark.createDataFrame(rows(1, 5), schema).coalesce(1).write.mode("append").parquet(src)
+    jobs.stream_daily_summary(spark, src, first.schema, out, ck, "1 day")
+    got = {r["report_date"].day: r["total_claims"] for r in spark.read.parquet(out).collect()}
+    assert got == {10: 3, 11: 2}  # day 13 still open; day 1 late
