@@ -360,3 +360,19 @@ def q_risk_explanations(spark, sf):
                                       col("hospital_stay_days"), col("patient_age"), col("patient_provider_count"),
                                       op.chronic4(c))
     return j.select("claim_id", "risk_level", F.concat_ws("; ", reasons).alias("reasons"))
+
+
+@register("upsert_settings", with_views(["predictions", "settings"], """
+SELECT setting_name, setting_value, setting_type, description FROM (
+  SELECT 'fraud_threshold_balanced' AS setting_name, CAST(max(fraud_probability) AS VARCHAR) AS setting_value,
+         'DECIMAL' AS setting_type, 'highest observed probability' AS description FROM predictions) e
+UNION ALL
+SELECT s.* FROM settings s WHERE s.setting_name <> 'fraud_threshold_balanced'"""))
+def q_upsert_settings(spark, sf):
+    """Defaults inserted where absent; an existing (data-derived) setting is kept."""
+    from claimlens.sources import io
+    p = op.predictions_table(spark, sf)
+    existing = p.agg(F.max("fraud_probability").cast("string").alias("setting_value")).select(
+        F.lit("fraud_threshold_balanced").alias("setting_name"), "setting_value",
+        F.lit("DECIMAL").alias("setting_type"), F.lit("highest observed probability").alias("description"))
+    return io.upsert_settings(existing, op.settings_table(spark))

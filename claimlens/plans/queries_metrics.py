@@ -450,3 +450,17 @@ def q_label_ttest_pvalue(spark, sf):
     ft = pl.feature_table(spark, sf)
     return pf.label_ttest(ft, "PotentialFraud", CONTRAST_FEATURES).select("feature", "t_stat", "dof", "p_value",
                                                                           "significant")
+
+
+@register("union_results", with_views(["model_scores"], f"""SELECT 'rule' AS model, {_METRICS}, tp, fp, fn, tn
+FROM (SELECT {_CM} FROM model_scores WHERE model = 'rule') c
+UNION ALL
+SELECT 'amount' AS model, {_METRICS}, tp, fp, fn, tn
+FROM (SELECT {_CM} FROM model_scores WHERE model = 'amount') c"""))
+def q_union_results(spark, sf):
+    """Two models' result sets computed separately, merged by name."""
+    from claimlens.operators import relational as rel
+    m = _models(spark, sf)
+    parts = [mt.classification_metrics(m.where(F.col("model") == name), "label", "score")
+             .select(F.lit(name).alias("model"), "*") for name in ("rule", "amount")]
+    return rel.union_results(*parts)
