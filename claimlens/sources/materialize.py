@@ -18,8 +18,20 @@ from pyspark.sql import DataFrame
 from claimlens.session import ensure_checkpoint_dir
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, bucket_by: str | None = None, buckets: int | None = None) -> DataFrame:
+    """Write ``df`` once and read it back.
+
+    With ``bucket_by`` the table is written bucketed (and sorted) on that key as
+    an external table in the same shared folder: later joins and aggregations on
+    the key between frames derived from it need no shuffle.
+    """
     spark = df.sparkSession
-    path = os.path.join(ensure_checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    tag = f"{name}_{uuid.uuid4().hex}"
+    path = os.path.join(ensure_checkpoint_dir(spark), "tables", tag)
+    if bucket_by is None:
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (df.write.mode("overwrite").option("path", path).bucketBy(n, bucket_by).sortBy(bucket_by)
+       .saveAsTable(f"claimlens_{tag}"))
+    return spark.table(f"claimlens_{tag}")

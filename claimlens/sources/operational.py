@@ -31,7 +31,7 @@ CLAIMS_COLUMNS = (
 def claims_table(spark: SparkSession, sf_dir: str, materialized: bool = True) -> DataFrame:
     """The claims table, written once per call (a stage boundary) unless ``materialized=False``."""
     df = _claims_plan(spark, sf_dir)
-    return materialize(df, "claims") if materialized else df
+    return materialize(df, "claims", bucket_by="claim_id") if materialized else df
 
 
 def _claims_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
