@@ -35,3 +35,18 @@ def materialize(df: DataFrame, name: str, bucket_by: str | None = None, buckets:
     (df.write.mode("overwrite").option("path", path).bucketBy(n, bucket_by).sortBy(bucket_by)
        .saveAsTable(f"claimlens_{tag}"))
     return spark.table(f"claimlens_{tag}")
+
+
+def drop_materialized(spark) -> None:
+    """Remove every stage table this session wrote (call at the end of a job, after its last action).
+
+    Uses the Hadoop FileSystem of the checkpoint folder, so it works on HDFS / object stores."""
+    for t in spark.catalog.listTables():
+        if t.name.startswith("claimlens_"):
+            spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+    root = os.path.join(ensure_checkpoint_dir(spark), "tables")
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(path):
+        fs.delete(path, True)

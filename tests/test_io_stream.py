@@ -67,3 +67,11 @@ def test_daily_stream_drops_late_rows(spark, tmp_path):
     jobs.stream_daily_summary(spark, src, first.schema, out, ck, "1 day")
     got = {r["report_date"].day: r["total_claims"] for r in spark.read.parquet(out).collect()}
     assert got == {10: 3, 11: 2}  # day 13 still open; day 1 late
+
+
+def test_drop_materialized(spark):
+    from claimlens.sources.materialize import drop_materialized, materialize
+    df = materialize(spark.range(10).withColumnRenamed("id", "claim_id"), "t", bucket_by="claim_id", buckets=2)
+    assert df.count() == 10
+    drop_materialized(spark)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("claimlens_")]
