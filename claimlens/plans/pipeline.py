@@ -82,8 +82,10 @@ def with_claim_features(df: DataFrame, stats: ClaimStats) -> DataFrame:
     if DED in present:
         cols += fx.deductible_flags(F.col(DED), amt)
     out = out.select("*", *cols).drop(DED)
-    age = F.col("Age")
-    extra = [*fx.age_flags(age, amt), fx.age_risk_group(age)]
+    extra = []
+    if "Age" in present:  # member data joined (optional, like the other probed columns)
+        age = F.col("Age")
+        extra += [*fx.age_flags(age, amt), fx.age_risk_group(age)]
     if "NoOfMonths_PartBCov" in present:
         def opt(c):
             return F.col(c) if c in present else F.lit(None).cast("double")
