@@ -33,7 +33,7 @@ def hash_key(key: str, seed: int = SEED):
 
 def _ranked_within_label(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
     with_h = df.withColumn("__h", hash_key(key, seed))
-    ranked = global_rank(with_h, ["__h"], name="__r", partition_cols=(label,))
+    ranked = global_rank(with_h, ["__h"], name="__r", partition_cols=(label,), uniform=True)
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
     # One row per label value: a size-bounded broadcast.
     return ranked.join(F.broadcast(counts), label)

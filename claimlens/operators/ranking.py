@@ -25,19 +25,35 @@ def _slices(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def slice_column(df: DataFrame, col: str, n: int, descending: bool = False,
-                 accuracy: int = 10000) -> tuple[DataFrame, str]:
-    """Add ``__slice`` in [0, n): monotone in ``col`` (reversed when descending)."""
+def _byte_prefix_number(col: str) -> Column:
+    """First 8 UTF-8 bytes of a string as a number: monotone in Spark's (binary) string order."""
+    hex16 = F.rpad(F.hex(F.substring(F.encode(F.col(col), "UTF-8"), 1, 8)), 16, "0")
+    return F.conv(hex16, 16, 10).cast("decimal(20,0)").cast("double")
+
+
+def slice_column(df: DataFrame, col: str, n: int, descending: bool = False, accuracy: int = 10000,
+                 uniform: bool = False) -> tuple[DataFrame, str]:
+    """Add ``__slice`` in [0, n): monotone in ``col`` (reversed when descending).
+
+    Numbers, dates and strings get slice bounds from approximate quantiles of the
+    value (strings through their leading 8 bytes, so values sharing a common
+    prefix still spread out). ``uniform=True`` (hash keys) skips the fit and
+    slices on the leading two bytes directly.
+    """
     dtype = df.schema[col].dataType
     if n <= 1:
         return df.withColumn("__slice", F.lit(0)), "__slice"
-    if isinstance(dtype, (T.StringType, T.BinaryType)):
-        # Leading two bytes: uniform for hash keys, monotone for any text.
+    is_text = isinstance(dtype, (T.StringType, T.BinaryType))
+    if is_text and uniform:
         lead = F.coalesce(F.conv(F.substring(F.hex(F.col(col)), 1, 4), 16, 10).cast("bigint"), F.lit(0))
         s = F.floor(lead * n / 65536).cast("int")
     else:
-        num = (F.col(col).cast("double") if isinstance(dtype, T.NumericType)
-               else F.unix_micros(F.col(col).cast("timestamp")).cast("double"))
+        if is_text:
+            num = _byte_prefix_number(col)
+        elif isinstance(dtype, T.NumericType):
+            num = F.col(col).cast("double")
+        else:
+            num = F.unix_micros(F.col(col).cast("timestamp")).cast("double")
         probe = df.select(num.alias("__x")).where(F.col("__x").isNotNull())
         bounds = probe.agg(F.percentile_approx("__x", [i / n for i in range(1, n)], accuracy)).first()[0] or []
         splits = [float("-inf")] + sorted(set(float(b) for b in bounds)) + [float("inf")]
@@ -56,12 +72,12 @@ def slice_column(df: DataFrame, col: str, n: int, descending: bool = False,
 
 def prefix_sums(df: DataFrame, order_cols: list[str], values: dict[str, Column],
                 partition_cols: tuple[str, ...] = (), inclusive: bool = True, descending: bool = False,
-                slices: int | None = None) -> DataFrame:
+                slices: int | None = None, uniform: bool = False) -> DataFrame:
     """Add ``name`` = running sum of ``values[name]`` in ``order_cols`` order within
     ``partition_cols``. ``order_cols`` must give a total order for stable results."""
     n = slices or _slices(df)
     tmp = df.select("*", *[v.alias(f"__v_{k}") for k, v in values.items()])
-    tmp, sl = slice_column(tmp, order_cols[0], n, descending)
+    tmp, sl = slice_column(tmp, order_cols[0], n, descending, uniform=uniform)
     order = [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
     w = (Window.partitionBy(sl, *partition_cols).orderBy(*order)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -81,7 +97,8 @@ def prefix_sums(df: DataFrame, order_cols: list[str], values: dict[str, Column],
     return out.drop(*drop)
 
 
-def global_rank(df: DataFrame, order_cols: list[str], name: str = "rank",
-                partition_cols: tuple[str, ...] = (), descending: bool = False, slices: int | None = None) -> DataFrame:
+def global_rank(df: DataFrame, order_cols: list[str], name: str = "rank", partition_cols: tuple[str, ...] = (),
+                descending: bool = False, slices: int | None = None, uniform: bool = False) -> DataFrame:
     """1-based row number in ``order_cols`` order within ``partition_cols``."""
-    return prefix_sums(df, order_cols, {name: F.lit(1).cast("bigint")}, partition_cols, True, descending, slices)
+    return prefix_sums(df, order_cols, {name: F.lit(1).cast("bigint")}, partition_cols, True, descending, slices,
+                       uniform)

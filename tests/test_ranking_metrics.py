@@ -65,3 +65,14 @@ def test_t_pvalue():
     from claimlens.functions.stats_math import t_two_sided_p_scalar
     assert abs(t_two_sided_p_scalar(2.0, 10.0) - 0.0733880) < 1e-6
     assert abs(t_two_sided_p_scalar(0.0, 5.0) - 1.0) < 1e-12
+
+
+def test_common_prefix_strings_spread_over_slices(spark):
+    from claimlens.operators.ranking import slice_column
+    df = spark.range(2000).select(F.concat(F.lit("PHY"), F.col("id").cast("string")).alias("v"))
+    out, sl = slice_column(df, "v", 8)
+    sizes = [r["count"] for r in out.groupBy(sl).count().collect()]
+    assert len(sizes) >= 6 and max(sizes) < 2000 // 2
+    ranked = global_rank(df, ["v"], "r")
+    ref = df.withColumn("r2", F.row_number().over(Window.orderBy("v")))
+    assert ranked.join(ref, "v").where("r != r2").count() == 0
