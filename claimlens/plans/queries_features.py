@@ -10,7 +10,7 @@ from claimlens.operators import encoding
 from claimlens.operators import relational as rel
 from claimlens.operators import stats as st
 from claimlens.plans import pipeline as pl
-from claimlens.plans.oracle_views import TOTAL_CHRONIC, flag, race_group, ratio, round2_mean, std_exact, with_views
+from claimlens.plans.oracle_views import TOTAL_CHRONIC, flag, ratio, std_exact, with_views
 from claimlens.plans.registry import register
 from claimlens.sources import claim_views as cv
 from claimlens.sources import operational as op
