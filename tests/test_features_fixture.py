@@ -73,3 +73,17 @@ def test_label_join_paths_agree(spark):
     assert a.columns == b.columns
     assert sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
     assert a.count() == 4  # P1 x2, P2, P3 with no claims; P9 (unlabelled) dropped
+
+
+def test_saved_stats_reproduce_batch_fit(spark, sf, tmp_path):
+    cleaned = pl.cleaned_claims(spark, sf)
+    fitted = st.ClaimStats.fit(cleaned)
+    fitted.save(str(tmp_path / "stats"))
+    loaded = st.ClaimStats.load(spark, str(tmp_path / "stats"))
+    assert loaded.quantiles == fitted.quantiles
+    a = pl.finalize_features(pl.with_claim_features(cleaned, fitted), ("ClaimID",))
+    b = pl.finalize_features(pl.with_claim_features(cleaned, loaded), ("ClaimID",))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    # scoring a new batch with saved stats does not refit thresholds on that batch
+    batch = cleaned.limit(50)
+    assert pl.with_claim_features(batch, loaded).count() == 50
