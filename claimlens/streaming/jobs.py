@@ -66,8 +66,13 @@ def feed_and_run(df: DataFrame, path: str, parts: int, order_col: str | None, ru
     return df.schema
 
 
-def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
+    """File-source stream. Without a per-trigger cap, everything that has arrived forms one
+    micro-batch, so the files of one arrival are never split into out-of-order batches."""
+    r = spark.readStream.schema(schema)
+    if files_per_trigger:
+        r = r.option("maxFilesPerTrigger", files_per_trigger)
+    return r.parquet(path)
 
 
 # ST1
