@@ -47,14 +47,13 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         enc = encoder(tokenizer_path)
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for at in range(0, batch.num_rows, 512):
-                got = [x + end for x in enc.encode_batch(texts.slice(at, 512).to_pylist())]
-                own = ids.slice(at, 512).to_pylist()
-                shard = [0 if x is None else int(np.searchsorted(bounds, x, side="right")) for x in own]
+            for got in enc.encode(batch.column(1)):
+                own = batch.column(0)[got.first:got.first + len(got.bounds) - 1]
+                ids = [got.ids[a:b].tobytes() + end for a, b in zip(got.bounds[:-1].tolist(), got.bounds[1:].tolist())]
+                shard = np.where(own.is_null(), 0, np.searchsorted(bounds, own.fill_null(0).to_numpy(), side="right"))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard, pa.int32()), pa.array(own, pa.int64()), pa.array([zlib.crc32(x) for x in got], pa.int64()),
-                     pa.array(got, pa.binary())], ["shard", "doc_id", "crc", "ids"])
+                    [pa.array(shard.astype(np.int32)), own, pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+                    ["shard", "doc_id", "crc", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = encoder(tokenizer_path).dtype.itemsize
