@@ -6,8 +6,8 @@ that a non-space follows, and the ids of the pieces concatenated are the ids of
 the text (special strings hold no space, so none is cut). Where the next byte
 may begin white space beyond ASCII the text is not cut, which is always right.
 
-Pieces repeat heavily. A column's pieces are hashed as arrays (two 64-bit
-hashes), the distinct new ones go to the library many in one text, and the ids
+Pieces repeat heavily. A column's pieces are hashed as arrays (64 bits, and the
+length and first bytes must agree), the distinct new ones go to the library many in one text, and the ids
 of all pieces are gathered from a bounded pool; Python loops over texts only.
 """
 
@@ -27,7 +27,6 @@ _JOIN = 2000  # new pieces in one text for the library
 # Bytes that keep a space from starting a piece: ASCII white space and separators, and first bytes of longer white space.
 _NO_CUT = np.zeros(256, bool)
 _NO_CUT[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0xC2, 0xE1, 0xE2, 0xE3]] = True
-_OTHER_BYTE = np.random.Generator(np.random.PCG64(977)).integers(1, 2**63, 256, dtype=np.uint64)
 
 
 @dataclass
@@ -88,16 +87,23 @@ class PieceEncoder:
         up, down = W._power_tables(n)
         pieces = np.flatnonzero(plain)
         s, e = start[pieces], end[pieces]
-        hashes = []
-        for table in (W._BYTE, _OTHER_BYTE):
-            sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(table[data] * up, out=sums[1:])
-            hashes.append(W.mix((sums[e] - sums[s]) * down[s]))
-        key, which, inverse = np.unique(hashes[0], return_index=True, return_inverse=True)
-        same = hashes[1] == hashes[1][which][inverse]
-        place = self._places(key, hashes[1][which], s[which], e[which], data)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(W._BYTE[data] * up, out=sums[1:])
+        hashed = W.mix((sums[e] - sums[s]) * down[s])
+        # what else must agree: the length and the first bytes
+        check = (e - s).astype(np.uint64)
+        for k in range(1, 8):
+            check = check << np.uint64(8) ^ data[np.minimum(s + k, e - 1)]
+        order = np.argsort(hashed)
+        ranked = hashed[order]
+        new = np.ones(len(order), bool)
+        new[1:] = ranked[1:] != ranked[:-1]
+        key, which = ranked[new], order[new]
+        inverse = np.empty(len(order), np.int64)
+        inverse[order] = np.cumsum(new) - 1
+        place = self._places(key, check[which], s[which], e[which], data)
         of = place[inverse]
-        ok = same & (self.check[of] == hashes[1]) if len(pieces) else same
+        ok = self.check[of] == check
         alone = np.concatenate([np.flatnonzero(~plain), pieces[~ok]])
 
         length = np.zeros(len(start), np.int64)
@@ -108,11 +114,13 @@ class PieceEncoder:
         length[alone] = [len(x) for x in own]
         to = np.concatenate([[0], np.cumsum(length)])
         out = np.empty(to[-1], self.dtype)
-        kept, sizes = pieces[ok], self.size[of[ok]]
-        shift = np.repeat(self.begin[of[ok]] - (np.cumsum(sizes) - sizes), sizes)
-        target = np.repeat(to[kept] - (np.cumsum(sizes) - sizes), sizes)
-        step = np.arange(len(shift))
-        out[target + step] = self.pool[shift + step]
+        sizes = self.size[of[ok]]
+        before = np.cumsum(sizes) - sizes
+        step = np.arange(sizes.sum())
+        source = np.repeat(self.begin[of[ok]] - before, sizes)
+        source += step
+        step += np.repeat(to[pieces[ok]] - before, sizes)
+        out[step] = self.pool[source]
         for i, ids in zip(to[alone].tolist(), own):
             out[i:i + len(ids)] = ids
         return Encoded(first, out, to[np.searchsorted(start, offsets)])
