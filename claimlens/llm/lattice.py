@@ -75,10 +75,19 @@ class Pieces:
 
     def __init__(self, pieces: list[str], weights: np.ndarray):
         self.pieces, self.longest = pieces, max(map(len, pieces))
-        keys = np.array([_text_key(p) for p in pieces], np.uint64)
-        self.order = np.argsort(keys, kind="stable")
-        self.keys = keys[self.order]
-        self.prefixes = np.unique(np.array([_text_key(p) for p in {p[:k] for p in pieces for k in range(1, len(p))}] or [0], np.uint64))
+        prefixes = {p[:k] for p in pieces for k in range(1, len(p))}
+        at = {p: i for i, p in enumerate(pieces)}
+        entries = sorted({*at, *prefixes})
+        # An open-addressing table of pieces and of their beginnings, at most an eighth full.
+        size = 1 << (8 * len(entries)).bit_length()
+        self.mask = np.uint64(size - 1)
+        self.slot_key, self.slot_piece, self.slot_more = np.zeros(size, np.uint64), np.full(size, -1, np.int32), np.zeros(size, bool)
+        for text in entries:
+            key = _text_key(text)
+            slot = key & (size - 1)
+            while self.slot_key[slot]:
+                slot = (slot + 1) & (size - 1)
+            self.slot_key[slot], self.slot_piece[slot], self.slot_more[slot] = key, at.get(text, -1), text in prefixes
         self.set_weights(np.append(weights, 1e-9 * np.sum(weights)))
 
     @classmethod
@@ -99,6 +108,19 @@ class Pieces:
         self.logp = np.log(weights / weights.sum())
         self.logp[-1] -= math.log(_CHARACTERS)
 
+    def _slots(self, key: np.ndarray) -> np.ndarray:
+        """Where each key stands in the table, -1 if it is not there."""
+        slot = (key & self.mask).astype(np.int64)
+        held = self.slot_key[slot]
+        out = np.where(held == key, slot, -1)
+        open_ = np.flatnonzero((held != key) & (held != 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & int(self.mask)
+            held = self.slot_key[slot[open_]]
+            out[open_[held == key[open_]]] = slot[open_[held == key[open_]]]
+            open_ = open_[(held != key[open_]) & (held != 0)]
+        return out
+
     def edges(self, codes: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
         """Lattice edges of words of one length, given as code points [words, length]: (from, to, words, pieces), by from."""
         n, length = codes.shape
@@ -111,14 +133,15 @@ class Pieces:
             live = np.arange(n)
             for j in range(i + 1, min(length, i + self.longest) + 1):
                 key = W.mix(hashes[j, live] - hashes[i, live] * np.uint64(powers[j - i]) + np.uint64(j - i))
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                known = self.keys[at] == key
+                slot = self._slots(key)
+                found = slot >= 0
+                piece = np.where(found, self.slot_piece[slot], -1)
+                known = piece >= 0
                 if j == i + 1:
-                    out.append((i, j, live, np.where(known, self.order[at], len(self.pieces))))
+                    out.append((i, j, live, np.where(known, piece, len(self.pieces))))
                 elif known.any():
-                    out.append((i, j, live[known], self.order[at[known]]))
-                where = np.minimum(np.searchsorted(self.prefixes, key), len(self.prefixes) - 1)
-                live = live[self.prefixes[where] == key]
+                    out.append((i, j, live[known], piece[known]))
+                live = live[found & self.slot_more[slot]]
                 if not len(live):
                     break
         return out
