@@ -143,7 +143,11 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 20, cost: floa
         return np.log(counts[1] / n[1]) - np.log(counts[0] / n[0])
 
     r = ratios(learn)
-    values = {i: r[rows[i]] / max(np.sqrt((r[rows[i]] ** 2).sum()), 1e-12) for i in range(len(rows))}
+
+    def scaled(i: int) -> np.ndarray:
+        x = r[rows[i]]
+        return x / max(np.sqrt(x @ x), 1e-12)
+
     y = labels * 2.0 - 1
     # both classes weigh the same in the loss
     limit = np.where(good, cost * len(learn) / (2 * max(1, good[learn].sum())), cost * len(learn) / (2 * max(1, (~good[learn]).sum())))
@@ -151,7 +155,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 20, cost: floa
     for _ in range(epochs):
         change = 0.0
         for i in rng.permutation(learn):
-            x, at = values[i], rows[i]
+            x, at = scaled(i), rows[i]
             gradient = y[i] * (w[at] @ x) - 1
             new = min(max(dual[i] - gradient, 0.0), limit[i])  # the rows have unit length
             if new != dual[i]:
@@ -161,7 +165,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 20, cost: floa
         if change < 1e-3:
             break
     check = np.flatnonzero(held) if len(np.unique(labels[held])) == 2 else learn
-    margins = np.array([w[rows[i]] @ values[i] for i in check])
+    margins = np.array([w[rows[i]] @ scaled(i) for i in check])
     slope, shift = _logistic(margins, labels[check])
     return Model(w * r, r ** 2, slope, shift)
 
@@ -206,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, max_rows: int = MA
         held += r["n"]
         if held > max_indicators and rows:
             break
-        rows.append(np.frombuffer(r["tags"], "<i4").astype(np.int64))
+        rows.append(np.frombuffer(r["tags"], "<i4"))
         target.append(r["label"])
     return fit(rows, np.array(target, np.int64))
 
