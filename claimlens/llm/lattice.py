@@ -245,7 +245,7 @@ def _priced(counts: DataFrame, pieces: Pieces, totals: np.ndarray, distinct: np.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = batch.column(0).to_pylist()
-            n = np.stack([batch.column(1 + k).to_numpy() for k in range(components)] or [np.zeros(len(words))], 1).astype(float)
+            n = np.stack([batch.column(1 + k).to_numpy() for k in range(components)], 1).astype(float)
             every = n.sum(axis=1)
             known = np.array([w != END for w in words])
             logp = np.full(len(words), math.log(0.1 / base_total))  # an end token that no training text has shown: the base's share
@@ -255,11 +255,11 @@ def _priced(counts: DataFrame, pieces: Pieces, totals: np.ndarray, distinct: np.
                     whole = np.log(np.maximum(every - DISCOUNT, 0) / totals[-1])
                     logp = np.logaddexp(whole, logp + math.log(DISCOUNT * distinct[-1] / totals[-1]))
                 by = [np.logaddexp(np.log(np.maximum(n[:, k] - DISCOUNT, 0) / totals[k]), logp + math.log(DISCOUNT * distinct[k] / totals[k]))
-                      for k in range(components)] or [logp]
+                      if totals[k] else logp for k in range(components)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(every.astype(np.int64)), pa.array(np.log10((every + 0.1) / base_total)),
                                               *(pa.array(x / math.log(10)) for x in by)], ["word", "n", "base", *(f"p{k}" for k in range(len(by)))])
 
-    return counts.mapInArrow(run, "word binary, n long, base double, " + ", ".join(f"p{k} double" for k in range(max(1, components))))
+    return counts.mapInArrow(run, "word binary, n long, base double, " + ", ".join(f"p{k} double" for k in range(components)))
 
 
 def _head(priced: DataFrame, most: int) -> list:
@@ -293,9 +293,10 @@ def score_texts(docs: DataFrame, pieces_path: str, folds: int = 10, component: s
     group = F.col(component) if component in docs.columns else F.lit(None).cast("string")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", group.alias("_group")).withColumn("held_out", _held_out(folds))
     docs, shares = _components(docs, most_components)
+    shares = shares or [1.0]  # no training text: one component without counts
     end = spark.createDataFrame([(END, *[0] * len(shares))], "word binary" + "".join(f", n{k} long" for k in range(len(shares))))
     counts = word_counts(docs, len(shares)).unionByName(end).groupBy("word").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(len(shares))))
-    counts = staged(counts if shares else counts.select("word"), "counts")
+    counts = staged(counts, "counts")
     every = sum((F.col(f"n{k}") for k in range(len(shares))), F.lit(0))
     found = counts.select(*(f"n{k}" for k in range(len(shares))), every.alias("n"))
     sums = found.agg(*(F.sum(c).alias(f"s_{c}") for c in found.columns), *(F.count_if(F.col(c) > 0).alias(f"v_{c}") for c in found.columns)).first()
@@ -337,7 +338,7 @@ def score_texts(docs: DataFrame, pieces_path: str, folds: int = 10, component: s
     whole = parts.filter(F.col("word").isNull()).drop("word", "tf")
     summed = whole.unionByName(rare, allowMissingColumns=True).groupBy("row").agg(
         *(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")), *(F.sum(c).alias(c) for c in ("n_known", "base", *names)))
-    logs = [F.col(c) + math.log10(share) for c, share in zip(names, shares or [1.0])]
+    logs = [F.col(c) + math.log10(share) for c, share in zip(names, shares)]
     best = F.greatest(*logs) if len(logs) > 1 else logs[0]
     score = best + F.log10(sum((F.pow(F.lit(10.0), x - best) for x in logs), F.lit(0.0)))
     return summed.select("doc_id", "held_out", "n_tokens", F.col("n_known").cast("long").alias("n_known"),
