@@ -4,7 +4,7 @@ A window with no ``partitionBy`` moves the whole table into one task. Instead:
 
 1. give every row a *slice* number that is a deterministic, monotone function of
    its first order column (fitted quantile bounds for numbers and dates, the
-   leading bytes for strings such as hash keys);
+   bytes after the shared prefix for strings, leading digits for hash keys);
 2. compute the running sum inside each slice (window partitioned by slice);
 3. total each slice (at most ``n`` rows per group), prefix-sum those totals on
    that small table, and add the offset back (a size-bounded broadcast).
@@ -25,37 +25,47 @@ def _slices(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _byte_prefix_number(col: str) -> Column:
-    """First 8 UTF-8 bytes of a string as a number: monotone in Spark's (binary) string order."""
-    hex16 = F.rpad(F.hex(F.substring(F.encode(F.col(col), "UTF-8"), 1, 8)), 16, "0")
+def _byte_number(col: str, skip: int) -> Column:
+    """Eight UTF-8 bytes of a string after the first ``skip``, as a number: monotone in Spark's (binary) string
+    order among strings that agree on the bytes skipped."""
+    hex16 = F.rpad(F.hex(F.substring(F.encode(F.col(col), "UTF-8"), skip + 1, 8)), 16, "0")
     return F.conv(hex16, 16, 10).cast("decimal(20,0)").cast("double")
 
 
+def _shared_bytes(df: DataFrame, col: str) -> int:
+    """How many leading bytes all strings of a column share (those of its least and greatest)."""
+    low, high = df.agg(F.min(col), F.max(col)).first()
+    if low is None:
+        return 0
+    low, high = (v if isinstance(v, (bytes, bytearray)) else v.encode("utf-8") for v in (low, high))
+    return next((i for i, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))
+
+
 def slice_column(df: DataFrame, col: str, n: int, descending: bool = False, accuracy: int = 10000,
                  uniform: bool = False) -> tuple[DataFrame, str]:
     """Add ``__slice`` in [0, n): monotone in ``col`` (reversed when descending).
 
     Numbers, dates and strings get slice bounds from approximate quantiles of the
-    value (strings through their leading 8 bytes, so values sharing a common
-    prefix still spread out). ``uniform=True`` (hash keys) skips the fit and
-    slices on the leading two bytes directly.
+    value (strings through the 8 bytes that follow the prefix which all of them
+    share). ``uniform=True`` (hex digests) skips the fit and slices on the first
+    eight hex digits directly.
     """
     dtype = df.schema[col].dataType
     if n <= 1:
         return df.withColumn("__slice", F.lit(0)), "__slice"
     is_text = isinstance(dtype, (T.StringType, T.BinaryType))
     if is_text and uniform:
-        lead = F.coalesce(F.conv(F.substring(F.hex(F.col(col)), 1, 4), 16, 10).cast("bigint"), F.lit(0))
-        s = F.floor(lead * n / 65536).cast("int")
+        lead = F.coalesce(F.conv(F.substring(F.col(col), 1, 8), 16, 10).cast("bigint"), F.lit(0))
+        s = F.floor(lead * n / (1 << 32)).cast("int")
     else:
         if is_text:
-            num = _byte_prefix_number(col)
+            num = _byte_number(col, _shared_bytes(df, col))
         elif isinstance(dtype, T.NumericType):
             num = F.col(col).cast("double")
         else:
             num = F.unix_micros(F.col(col).cast("timestamp")).cast("double")
         probe = df.select(num.alias("__x")).where(F.col("__x").isNotNull())
-        bounds = probe.agg(F.percentile_approx("__x", [i / n for i in range(1, n)], accuracy)).first()[0] or []
+        bounds = probe.agg(F.percentile_approx("__x", [i / n for i in range(1, n)], max(accuracy, 10 * n))).first()[0] or []
         splits = [float("-inf")] + sorted(set(float(b) for b in bounds)) + [float("inf")]
         if len(splits) < 3:
             splits = [float("-inf"), 0.0, float("inf")]

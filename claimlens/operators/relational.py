@@ -49,25 +49,16 @@ def claim_rollup(lines: DataFrame, order_cols: tuple[str, ...] = ("ClaimSource",
     return lines.groupBy("ClaimID").agg(*aggs)
 
 
-# Largest label table (one row per provider) that is broadcast; checked with a count.
-BROADCAST_LABEL_ROWS = 2_000_000
-
-
 # J2
-def label_left_claims(labels: DataFrame, claims: DataFrame, key: str = "Provider",
-                      broadcast_rows: int = BROADCAST_LABEL_ROWS) -> DataFrame:
+def label_left_claims(labels: DataFrame, claims: DataFrame, key: str = "Provider") -> DataFrame:
     """Label table LEFT JOIN claims: every labelled provider kept, labels fan out.
 
-    The preserved side is the small label table, so a plain outer join would
-    shuffle claims by provider and put a hot provider's claims into one task
-    (AQE cannot split the non-preserved side). When the label table is small
-    enough (counted), claims are instead inner-joined to a broadcast of it -- no
-    shuffle of claims at all -- and labelled providers without claims are
-    added back with an anti-join against the distinct claim providers.
+    As an outer join that preserves the small label table a hot provider's claims would
+    stay in one task. Claims are inner-joined instead (the planner broadcasts a label
+    table that it has measured to be small; otherwise skewed partitions of claims can be
+    split), and labelled providers without claims are added with an anti-join.
     """
-    if labels.count() > broadcast_rows:
-        return labels.join(claims, key, "left")
-    matched = claims.join(F.broadcast(labels), key, "inner")
+    matched = claims.join(labels, key, "inner")
     providers = claims.select(key).where(F.col(key).isNotNull()).distinct()
     unmatched = labels.join(providers, key, "left_anti")
     return matched.unionByName(unmatched, allowMissingColumns=True).select(

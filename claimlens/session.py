@@ -45,14 +45,23 @@ def get_session(master: str | None = None, app_name: str = "claimlens", **conf:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint dir; set a scratch one only if none is configured."""
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Unset, a local session (tests, benches) gets a scratch folder; on a cluster
+    that would be a different disk for every machine, so it is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    if named:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(named)
+        return named
+    current = sc.getCheckpointDir()
     if not current:
-        current = tempfile.mkdtemp(prefix="claimlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="claimlens-ckpt-"))
+        current = sc.getCheckpointDir()
     return current
 
 

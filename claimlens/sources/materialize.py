@@ -18,6 +18,15 @@ from pyspark.sql import DataFrame
 from claimlens.session import ensure_checkpoint_dir
 
 
+#: Buckets of a table at most; Spark refuses more than 100,000.
+MAX_BUCKETS = 16_384
+
+
+def _folder(spark) -> str:
+    """This application's own part of the shared folder."""
+    return os.path.join(ensure_checkpoint_dir(spark), "tables", spark.sparkContext.applicationId)
+
+
 def materialize(df: DataFrame, name: str, bucket_by: str | None = None, buckets: int | None = None) -> DataFrame:
     """Write ``df`` once and read it back.
 
@@ -27,12 +36,13 @@ def materialize(df: DataFrame, name: str, bucket_by: str | None = None, buckets:
     """
     spark = df.sparkSession
     tag = f"{name}_{uuid.uuid4().hex}"
-    path = os.path.join(ensure_checkpoint_dir(spark), "tables", tag)
+    path = os.path.join(_folder(spark), tag)
     if bucket_by is None:
         df.write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (df.write.mode("overwrite").option("path", path).bucketBy(n, bucket_by).sortBy(bucket_by)
+    n = buckets or min(int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_BUCKETS)
+    # Dealt by the bucket key first, so each bucket is one file whatever the number of tasks.
+    (df.repartition(n, bucket_by).write.mode("overwrite").option("path", path).bucketBy(n, bucket_by).sortBy(bucket_by)
        .saveAsTable(f"claimlens_{tag}"))
     return spark.table(f"claimlens_{tag}")
 
@@ -44,7 +54,7 @@ def drop_materialized(spark) -> None:
     for t in spark.catalog.listTables():
         if t.name.startswith("claimlens_"):
             spark.sql(f"DROP TABLE IF EXISTS {t.name}")
-    root = os.path.join(ensure_checkpoint_dir(spark), "tables")
+    root = _folder(spark)
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
