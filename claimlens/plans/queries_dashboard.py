@@ -325,10 +325,11 @@ def q_typed_setting(spark, sf):
     """Predictions at or above each DECIMAL threshold setting (settings read with typed casts)."""
     s = op.settings_table(spark).select("setting_name", *rules.typed_value(F.col("setting_value"), F.col("setting_type")))
     p = op.predictions_table(spark, sf).select("prediction_id", "fraud_probability")
-    # Settings is a fixed five-row table: broadcasting it is size-safe (a range
-    # match against at most five thresholds, not a pairwise product of the data).
-    j = p.join(F.broadcast(s), p.fraud_probability.cast("double") >= s.decimal_value, "inner")
-    counts = j.groupBy("setting_name").agg(F.count("prediction_id").alias("flagged"))
+    # One pass over the predictions with a count per threshold; settings is a fixed five-row table.
+    levels = [(r["setting_name"], r["decimal_value"]) for r in s.collect() if r["decimal_value"] is not None]
+    named = [F.struct(F.lit(n).alias("setting_name"), F.count_if(F.col("fraud_probability").cast("double") >= F.lit(v)).alias("flagged"))
+             for n, v in levels]
+    counts = p.agg(F.array(*named).alias("all")).select(F.inline("all"))
     return (s.select("setting_name").join(counts, "setting_name", "left")
              .select("setting_name", F.coalesce(F.col("flagged"), F.lit(0)).alias("flagged")))
 
