@@ -143,15 +143,10 @@ SEED = 42
 @dataclass(frozen=True)
 class EngineConfig:
     reference_year: int = REFERENCE_YEAR
-    batch_tiers: tuple = BATCH_TIERS
-    live_tiers: tuple = LIVE_TIERS
-    policy_tiers: tuple = POLICY_TIERS
     seed: int = SEED
-    # Quantiles: exact ``percentile`` by default (parity); set an accuracy to use
+    # Quantiles: exact and distributed by default (parity); set an accuracy to use
     # ``percentile_approx`` at very large scale.
     quantile_accuracy: int | None = None
-    # Hash-prefix buckets for global ranks (see operators.ranking).
-    rank_buckets: int = 4096
     extra: dict = field(default_factory=dict)
 
 

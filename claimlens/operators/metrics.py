@@ -93,15 +93,18 @@ def risk_distribution(df: DataFrame, score: str) -> DataFrame:
 
 # A22
 def probability_histogram(df: DataFrame, score: str, bins: int = 50) -> DataFrame:
+    """Counts of ``bins`` equal bins between the least and the greatest score; empty bins count 0."""
     s = _c(score).cast("double")
-    bounds = df.agg(F.min(s).alias("__lo"), F.max(s).alias("__hi")).withColumn("__k", F.lit(1))
-    j = df.select(s.alias("__s")).withColumn("__k", F.lit(1)).join(F.broadcast(bounds), "__k")
-    width = (F.col("__hi") - F.col("__lo")) / bins
-    b = F.when(width > 0, F.least(F.floor((F.col("__s") - F.col("__lo")) / width), F.lit(bins - 1))).otherwise(0)
-    return (j.where(F.col("__s").isNotNull()).groupBy(b.cast("int").alias("bin"), "__lo", "__hi")
-             .agg(F.count(F.lit(1)).alias("count"))
-             .select("bin", (F.col("__lo") + F.col("bin") * (F.col("__hi") - F.col("__lo")) / bins).alias("bin_start"),
-                     "count"))
+    lo, hi = df.agg(F.min(s), F.max(s)).first()
+    if lo is None:
+        return df.sparkSession.createDataFrame([], "bin int, bin_start double, count bigint")
+    width = (hi - lo) / bins
+    b = F.least(F.floor((s - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)) if width > 0 else F.lit(0)
+    counts = df.where(s.isNotNull()).groupBy(b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("__n"))
+    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    return every.join(counts, "bin", "left").select(
+        "bin", (F.lit(lo) + F.col("bin") * F.lit(hi - lo) / bins).alias("bin_start"),
+        F.coalesce("__n", F.lit(0)).alias("count"))
 
 
 # A23
@@ -272,9 +275,10 @@ def leaderboard(df: DataFrame, label: str, score: str, model: str = "model", thr
 
 
 # A34
-def recall_goal_check(metrics: DataFrame, baseline_recall: float | None = None) -> DataFrame:
+def recall_goal_check(metrics: DataFrame, baseline_recall: Column | float | None = None) -> DataFrame:
+    """Recall against the goals and, where given (a number or a column of ``metrics``), a baseline's recall."""
     r = F.col("recall")
-    base = F.lit(baseline_recall).cast("double")
+    base = (baseline_recall if isinstance(baseline_recall, Column) else F.lit(baseline_recall)).cast("double")
     return metrics.select("recall", (r - base).alias("improvement"),
                           (r >= RECALL_MINIMUM).alias("meets_minimum"), (r >= RECALL_STRETCH).alias("meets_stretch"))
 

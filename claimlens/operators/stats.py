@@ -6,9 +6,9 @@ once and kept as scalars, so scoring a new batch does not recompute them on the
 batch (``fit_on='saved'``), while ``fit_on='batch'`` reproduces the recompute-on-
 the-data behaviour for parity.
 
-Quantiles of provider- or patient-level values "over claim rows" are weighted
-percentiles on the small stats tables (``percentile(value, p, frequency)``), so
-the large joined table is not rescanned to compute them.
+Quantiles of provider- or patient-level values "over claim rows" are weighted by
+the rows of each group on the small stats tables, so the large joined table is
+not rescanned to compute them (``operators.quantiles``).
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens.functions.exact import MONEY_SUM, as_double, mean_round, std_samp_exact
+from claimlens.operators.quantiles import exact_quantiles, value_counts
 
 AMT = "InscClaimAmtReimbursed"
 
@@ -58,28 +59,35 @@ def patient_stats(df: DataFrame, key: str = "BeneID", amt: str = AMT, provider:
                    F.count(F.lit(1)).alias("_rows")))
 
 
-def _pct(col, p: float, freq=None, accuracy: int | None = None):
+# A4
+def fit_quantiles(claims: DataFrame, prov: DataFrame, pat: DataFrame, amt: str = AMT,
+                  accuracy: int | None = None) -> dict[str, float | None]:
+    """Every threshold the features need, by name.
+
+    Exact by default; ``accuracy`` takes the claim amounts' ones from
+    ``percentile_approx`` (the group-level ones stay exact)."""
+    amounts = {"amt_q80": 0.8, "amt_q90": 0.9, "amt_q95": 0.95, "amt_q99": 0.99}
+    wanted = {"provider_count_q90": ("provider_count", 0.9), "provider_std_q90": ("provider_std", 0.9),
+              "patient_count_q95": ("patient_count", 0.95)}
+    counts = [value_counts(prov, "provider_count", "ProviderClaimCount", "_rows"),
+              value_counts(prov, "provider_std", "ProviderStdClaim", "_rows"),
+              value_counts(pat, "patient_count", "PatientClaimCount", "_rows")]
+    if accuracy is None:
+        counts.append(value_counts(claims, "amt", amt))
+        wanted |= {name: ("amt", p) for name, p in amounts.items()}
+    out = exact_quantiles(counts, wanted)
     if accuracy is not None:
-        return F.percentile_approx(col, p, accuracy)
-    return F.percentile(col, F.lit(p)) if freq is None else F.percentile(col, F.lit(p), freq)
+        out |= claims.agg(*[F.percentile_approx(as_double(amt), p, accuracy).alias(name)
+                            for name, p in amounts.items()]).first().asDict()
+    return {name: out[name] for name in QUANTILE_NAMES}
 
 
-# A4
 def global_quantiles(claims: DataFrame, prov: DataFrame, pat: DataFrame, amt: str = AMT,
                      accuracy: int | None = None) -> DataFrame:
     """One-row table of every threshold the features need."""
-    a = as_double(amt)
-    amt_q = claims.agg(*[_pct(a, p, accuracy=accuracy).alias(n) for n, p in
-                         (("amt_q80", 0.8), ("amt_q90", 0.9), ("amt_q95", 0.95), ("amt_q99", 0.99))])
-    prov_q = prov.agg(
-        _pct(as_double("ProviderClaimCount"), 0.9, F.col("_rows")).alias("provider_count_q90"),
-        _pct(F.col("ProviderStdClaim"), 0.9, F.when(F.col("ProviderStdClaim").isNotNull(), F.col("_rows"))
-             .otherwise(F.lit(0))).alias("provider_std_q90"))
-    pat_q = pat.agg(_pct(as_double("PatientClaimCount"), 0.95, F.col("_rows")).alias("patient_count_q95"))
-    # Three one-row aggregates side by side (each side has exactly one row).
-    one = F.lit(1)
-    return (amt_q.withColumn("_k", one).join(prov_q.withColumn("_k", one), "_k")
-            .join(pat_q.withColumn("_k", one), "_k").drop("_k"))
+    fitted = fit_quantiles(claims, prov, pat, amt, accuracy)
+    return claims.sparkSession.createDataFrame([tuple(fitted[n] for n in QUANTILE_NAMES)],
+                                               ", ".join(f"{n} double" for n in QUANTILE_NAMES))
 
 
 # A5
@@ -109,8 +117,7 @@ class ClaimStats:
     def fit(cls, df: DataFrame, accuracy: int | None = None) -> "ClaimStats":
         prov = provider_stats(df)
         pat = patient_stats(df)
-        row = global_quantiles(df, prov, pat, accuracy=accuracy).first()
-        return cls(prov, pat, {k: (None if row[k] is None else float(row[k])) for k in QUANTILE_NAMES})
+        return cls(prov, pat, fit_quantiles(df, prov, pat, accuracy=accuracy))
 
     def save(self, path: str) -> None:
         self.provider.write.mode("overwrite").parquet(os.path.join(path, "provider"))

@@ -23,11 +23,13 @@ DED = "DeductibleAmtPaid"
 
 
 def claim_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two claim tables stacked. Both come from one table here, so later steps read ``cv.claim_lines``."""
     return rel.union_claims(cv.inpatient_claims(spark, sf_dir), cv.outpatient_claims(spark, sf_dir))
 
 
 def rolled_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rel.claim_rollup(claim_lines(spark, sf_dir))
+    rolled = rel.claim_rollup(cv.claim_lines(spark, sf_dir, integer_key=True))
+    return rolled.withColumn("ClaimID", F.col("ClaimID").cast("string"))
 
 
 def rolled_claims_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from claimlens.functions import rules
 from claimlens.operators import dashboard as dash
 from claimlens.operators import relational as rel
-from claimlens.plans.oracle_views import exact_avg, with_views
+from claimlens.plans.oracle_views import VIEWS, exact_avg, tier_sql, with_views
 from claimlens.plans.registry import register
+from claimlens.session import ensure_checkpoint_dir
+from claimlens.sources import io
 from claimlens.sources import operational as op
 from claimlens.sources.claim_views import provider_profile_key
+from claimlens.sources.materialize import materialize
 
 
-def _tables(spark, sf):
-    return op.operational_tables(spark, sf)
+def _tables(spark, sf, *extra):
+    """The three tables with the claim columns for scoring and ``extra``."""
+    return op.operational_tables(spark, sf, extra)
 
 
 @register("provider_statistics", with_views(["claims", "predictions", "investigations"], f"""
@@ -28,7 +36,7 @@ FROM claims c LEFT JOIN predictions fp ON c.claim_id = fp.claim_id
 LEFT JOIN investigations i ON c.claim_id = i.claim_id
 GROUP BY c.provider_id HAVING count(*) > 0"""), bench=True)
 def q_provider_statistics(spark, sf):
-    return dash.provider_statistics(*_tables(spark, sf))
+    return dash.provider_statistics(*_tables(spark, sf, "provider_id"))
 
 
 @register("daily_fraud_summary", with_views(["claims", "predictions"], f"""
@@ -129,7 +137,7 @@ SELECT c.*, fp.risk_level, fp.fraud_probability, i.investigation_outcome
 FROM claims c LEFT JOIN predictions fp ON c.claim_id = fp.claim_id
 LEFT JOIN investigations i ON c.claim_id = i.claim_id"""))
 def q_claims_pred_inv(spark, sf):
-    return dash.claims_pred_inv(*_tables(spark, sf))
+    return dash.claims_pred_inv(*op.operational_tables(spark, sf))  # every column of a claim
 
 
 @register("risk_ordinal_sort", with_views(["predictions"], """
@@ -149,22 +157,39 @@ def q_top_critical_cases(spark, sf):
     return dash.top_critical_cases(scored, "fraud_probability", "claim_id", 5)
 
 
-@register("create_investigations", with_views(["predictions"], """
+# Fixture: claims whose number is divisible by 4 have a case already; every second claim has a model probability.
+_NUMBER_SQL = "try_cast(regexp_extract(claim_id, '(\\d+)$', 1) AS BIGINT)"
+
+
+def _number(col="claim_id"):
+    return F.regexp_extract(F.col(col), r"(\d+)$", 1).try_cast("bigint")
+
+
+@register("create_investigations", with_views(["predictions"], f"""
 SELECT md5('inv:' || prediction_id) AS investigation_id, claim_id, prediction_id,
   CASE WHEN risk_level = 'Critical Risk' THEN 'CRITICAL' WHEN risk_level = 'High Risk' THEN 'HIGH' ELSE 'MEDIUM' END AS priority_level,
   'OPEN' AS status, CAST(NULL AS VARCHAR) AS assigned_investigator, CAST(NULL AS VARCHAR) AS findings,
   CAST(NULL AS VARCHAR) AS investigation_outcome, CAST(0 AS DECIMAL(12,2)) AS amount_recovered,
   prediction_timestamp AS created_date, CAST(NULL AS TIMESTAMP) AS completion_date
-FROM predictions WHERE risk_level IN ('Critical Risk', 'High Risk', 'Medium Risk') AND fraud_probability >= 0.6"""))
+FROM predictions WHERE risk_level IN ('Critical Risk', 'High Risk', 'Medium Risk') AND fraud_probability >= 0.6
+  AND {_NUMBER_SQL} % 4 <> 0"""))
 def q_create_investigations(spark, sf):
-    return op.create_investigations(op.predictions_table(spark, sf))
+    """R11 against existing cases: predictions that have one get no second."""
+    p = materialize(op.predictions_table(spark, sf), "predictions")
+    existing = op.create_investigations(p.where(_number() % 4 == 0))
+    return op.create_investigations(p, existing)
 
 
 @register("append_predictions", with_views(["predictions"], """
 SELECT prediction_id, claim_id, fraud_probability, risk_level, risk_score, risk_factors, model_version,
   prediction_timestamp, investigated FROM predictions"""))
 def q_append_predictions(spark, sf):
-    return op.predictions_table(spark, sf)
+    """A first run stores a part, a second one everything; the key rule keeps one row per prediction."""
+    p = materialize(op.predictions_table(spark, sf), "predictions")
+    path = os.path.join(ensure_checkpoint_dir(spark), "io", f"predictions-{uuid.uuid4().hex}")
+    io.append_with_key(p.where(_number() % 4 == 0), path, "prediction_id")
+    io.append_with_key(p, path, "prediction_id")
+    return spark.read.parquet(path)
 
 
 @register("heuristic_probability", with_views(["scored"], """
@@ -202,11 +227,22 @@ def q_risk_tier_policy(spark, sf):
     return p.select("claim_id", rules.risk_tier_policy(F.col("fraud_probability")).alias("risk_level"))
 
 
-@register("score_with_fallback", with_views(["predictions", "claims"], """
-SELECT fp.claim_id, fp.fraud_probability, fp.risk_level, fp.risk_score, fp.risk_factors FROM predictions fp"""))
+VIEWS["scored_by_model"] = (["scored"], f"""SELECT * REPLACE (CASE WHEN {_NUMBER_SQL} % 2 = 0
+  THEN CAST(least(claim_amount * 0.00001, 0.99) AS DECIMAL(5,4)) ELSE p END AS p) FROM scored""")
+
+
+@register("score_with_fallback", with_views(["scored_by_model"], f"""
+SELECT claim_id, p AS fraud_probability, {tier_sql('p')} AS risk_level, CAST(floor(p * 100) AS INTEGER) AS risk_score,
+  to_json({{'high_claim_amount': coalesce(claim_amount > 15000, false),
+           'elderly_patient': coalesce(patient_age > 70, false),
+           'short_stay_high_cost': coalesce(hospital_stay_days <= 2 AND claim_amount > 10000, false),
+           'frequent_claimant': coalesce(patient_total_claims > 15, false),
+           'multiple_chronic_conditions': coalesce(chronic4 > 1, false)}})::VARCHAR AS risk_factors
+FROM scored_by_model"""))
 def q_score_with_fallback(spark, sf):
-    # No model attached: every row takes the rule branch of the model-or-rule coalesce.
-    p = op.score_claims(op.claims_table(spark, sf), model_probability=F.lit(None).cast("double"))
+    """R10 with both branches: every second claim has a probability of an (amount) model, the rest take the rule."""
+    amount_model = F.least(F.col("claim_amount") * F.lit(Decimal("0.00001")), F.lit(Decimal("0.99")))
+    p = op.score_claims(op.claims_table(spark, sf), model_probability=F.when(_number() % 2 == 0, amount_model))
     return p.select("claim_id", "fraud_probability", "risk_level", "risk_score", "risk_factors")
 
 
@@ -354,7 +390,7 @@ _REASONS_SQL = """CASE WHEN fp.fraud_probability >= 0.8 THEN concat_ws('; ',
 SELECT fp.claim_id, fp.risk_level, {_REASONS_SQL} AS reasons
 FROM predictions fp JOIN claims c ON fp.claim_id = c.claim_id"""))
 def q_risk_explanations(spark, sf):
-    c, p, _ = _tables(spark, sf)
+    c, p, _ = _tables(spark, sf, "patient_provider_count")
     j = p.select("claim_id", "risk_level", "fraud_probability").join(c, "claim_id")
     col = F.col
     reasons = rules.risk_explanations(col("fraud_probability"), col("claim_amount"), col("patient_total_claims"),

@@ -9,11 +9,13 @@ from claimlens.functions import features as fx
 from claimlens.operators import encoding
 from claimlens.operators import relational as rel
 from claimlens.operators import stats as st
+from claimlens.operators.quantiles import exact_quantiles, value_counts
 from claimlens.plans import pipeline as pl
 from claimlens.plans.oracle_views import TOTAL_CHRONIC, flag, ratio, std_exact, with_views
 from claimlens.plans.registry import register
 from claimlens.sources import claim_views as cv
 from claimlens.sources import operational as op
+from claimlens.sources.materialize import materialize
 
 AMT = "InscClaimAmtReimbursed"
 CHRONIC_COLS = [f"ChronicCond_{n}" for n in CHRONIC_CONDITIONS]
@@ -227,7 +229,7 @@ def q_has_renal_disease(spark, sf):
   CAST(coalesce(len(list_distinct(list_filter([AttendingPhysician, OperatingPhysician, OtherPhysician],
        lambda x: x IS NOT NULL))) > 1, false) AS INTEGER) AS HasMultiplePhysicians FROM claim_lines"""))
 def q_multi_physician(spark, sf):
-    lines = pl.claim_lines(spark, sf)
+    lines = cv.claim_lines(spark, sf)
     return lines.select("ClaimID", "LineNo", "ClaimSource", fx.multi_physician(lines))
 
 
@@ -259,8 +261,9 @@ def q_fill_numeric_zero(spark, sf):
   CAST(dense_rank() OVER (ORDER BY coalesce(OperatingPhysician, 'nan')) - 1 AS INTEGER) AS OperatingPhysician
 FROM claim_lines"""))
 def q_label_encode(spark, sf):
-    lines = pl.claim_lines(spark, sf).select("ClaimID", "LineNo", "ClaimSource", "AttendingPhysician",
-                                             "OperatingPhysician")
+    # Every column's distinct values, their ranks and the lookups read the lines: write them once.
+    lines = materialize(cv.claim_lines(spark, sf).select("ClaimID", "LineNo", "ClaimSource", "AttendingPhysician",
+                                                         "OperatingPhysician"), "encoded_lines")
     return encoding.label_encode(lines, ["AttendingPhysician", "OperatingPhysician"])
 
 
@@ -285,7 +288,7 @@ LEFT JOIN (SELECT BeneID, count({AMT}) AS n FROM cleaned WHERE BeneID IS NOT NUL
 def q_fallback_features(spark, sf):
     cleaned = _cleaned(spark, sf)
     prov, pat = st.fallback_stats(cleaned)
-    q90 = cleaned.agg(F.percentile(F.col(AMT).cast("double"), F.lit(0.9))).first()[0]
+    q90 = exact_quantiles([value_counts(cleaned, "amt", AMT)], {"q90": ("amt", 0.9)})["q90"]
     j = (cleaned.join(prov.select("Provider", "ProviderClaimCount"), "Provider", "left")
                 .join(pat.select("BeneID", "PatientClaimCount"), "BeneID", "left"))
     c = F.col

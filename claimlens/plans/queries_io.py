@@ -17,6 +17,7 @@ from claimlens.session import ensure_checkpoint_dir
 from claimlens.sources import claim_views as cv
 from claimlens.sources import io
 from claimlens.sources import operational as op
+from claimlens.sources.materialize import materialize
 from claimlens.streaming import jobs
 
 
@@ -80,7 +81,7 @@ def q_scan_claims_table(spark, sf):
 @register("append_claims", with_views(["claims"], "SELECT * FROM claims"))
 def q_append_claims(spark, sf):
     """Append with defaults, twice; the key anti-join keeps one row per claim."""
-    claims = op.claims_table(spark, sf)
+    claims = materialize(op.claims_table(spark, sf), "claims_to_append")
     path = _scratch(spark, "claims_table")
     rows = io.with_claim_defaults(claims, claims.schema)
     io.append_with_key(rows, path, "claim_id")
@@ -117,7 +118,7 @@ SELECT 'summary', 'low_risk', CAST(count(CASE WHEN fraud_probability < 0.3 THEN
 @register("report_tables", with_views(["predictions"], _REPORT_SQL))
 def q_report_tables(spark, sf):
     """Long-format report written as JSON and read back."""
-    p = op.predictions_table(spark, sf)
+    p = materialize(op.predictions_table(spark, sf).select("fraud_probability"), "probabilities")
     dist = mt.risk_distribution(p, "fraud_probability").select("risk_level", "count")
     summ = mt.probability_summary(p, "fraud_probability")
     summ_long = summ.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value"))

@@ -22,6 +22,7 @@ from claimlens.plans.queries_features import FINAL_FEATURES
 from claimlens.plans.registry import register
 from claimlens.sources import claim_views as cv
 from claimlens.sources import operational as op
+from claimlens.sources.materialize import materialize
 
 VIEWS["scored_labels"] = (["predictions", "claims", "labels_v"], """SELECT fp.claim_id, c.provider_id,
   CASE WHEN l.PotentialFraud = 'Yes' THEN 1 ELSE 0 END AS label,
@@ -42,16 +43,20 @@ def sdiv(a: str, b: str) -> str:
 
 
 def scored_labels(spark, sf) -> DataFrame:
+    """Lazy: scores come with their claim's provider and amount in one projection, then one label join."""
     claims = op.claims_table(spark, sf)
-    c = claims.select("claim_id", "provider_id", "claim_amount")
-    p = op.predictions_table(spark, sf, claims=claims).select("claim_id", "fraud_probability", "risk_level")
-    lab = cv.provider_labels(spark, sf)
-    j = p.join(c, "claim_id").join(lab, F.col("provider_id") == F.col("Provider"))
+    p = op.score_claims(claims, keep=("provider_id", "claim_amount"))
+    j = p.join(cv.provider_labels(spark, sf), F.col("provider_id") == F.col("Provider"))
     return j.select("claim_id", "provider_id", F.when(F.col("PotentialFraud") == "Yes", 1).otherwise(0).alias("label"),
                     F.col("fraud_probability").cast("double").alias("score"), "fraud_probability", "risk_level",
                     "claim_amount")
 
 
+def _labels_table(spark, sf) -> DataFrame:
+    """(claim_id, label, score) written once: splits and folds read their rows for slices, ranks and totals."""
+    return materialize(scored_labels(spark, sf).select("claim_id", "label", "score"), "scored_labels")
+
+
 @register("roc_auc", with_views(["score_counts"], """SELECT
   CAST(sum(CAST(pos AS HUGEINT) * (2 * negle - neg)) AS DOUBLE) / (2.0 * CAST(sum(neg) AS DOUBLE) * CAST(sum(pos) AS DOUBLE))
     AS roc_auc, CAST(sum(pos) AS BIGINT) AS n1, CAST(sum(neg) AS BIGINT) AS n0
@@ -161,13 +166,14 @@ def q_risk_distribution(spark, sf):
     return mt.risk_distribution(op.predictions_table(spark, sf), "fraud_probability")
 
 
-@register("probability_histogram", with_views(["predictions"], """SELECT bin,
-  lo + CAST(bin AS DOUBLE) * (hi - lo) / 50 AS bin_start, count(*) AS count
-FROM (SELECT CAST(CASE WHEN (hi - lo) / 50 > 0 THEN least(floor((s - lo) / ((hi - lo) / 50)), 49) ELSE 0 END AS INTEGER) AS bin,
-             lo, hi FROM (SELECT CAST(fraud_probability AS DOUBLE) AS s FROM predictions) x,
-             (SELECT min(CAST(fraud_probability AS DOUBLE)) AS lo, max(CAST(fraud_probability AS DOUBLE)) AS hi
-              FROM predictions) b WHERE s IS NOT NULL) t
-GROUP BY bin, lo, hi"""))
+@register("probability_histogram", with_views(["predictions"], """SELECT CAST(r.bin AS INTEGER) AS bin,
+  lo + CAST(r.bin AS DOUBLE) * (hi - lo) / 50 AS bin_start, coalesce(n, 0) AS count
+FROM range(50) r(bin) CROSS JOIN bounds
+LEFT JOIN (SELECT CASE WHEN (hi - lo) / 50 > 0 THEN least(floor((CAST(fraud_probability AS DOUBLE) - lo) / ((hi - lo) / 50)), 49)
+                       ELSE 0 END AS bin, count(*) AS n
+           FROM predictions, bounds WHERE fraud_probability IS NOT NULL GROUP BY 1) c ON c.bin = r.bin""", extra=[
+    ("bounds", "SELECT min(CAST(fraud_probability AS DOUBLE)) AS lo, max(CAST(fraud_probability AS DOUBLE)) AS hi "
+               "FROM predictions")]))
 def q_probability_histogram(spark, sf):
     return mt.probability_histogram(op.predictions_table(spark, sf), "fraud_probability")
 
@@ -219,11 +225,24 @@ def q_class_balance_check(spark, sf):
     return mt.class_balance_check(scored_labels(spark, sf), "label")
 
 
-@register("recall_goal_check", with_views(["scored_labels"], f"""SELECT recall, CAST(NULL AS DOUBLE) AS improvement,
+_RECALL_AT = "score >= 0.5"
+_BASELINE_AT = "claim_amount >= 50000"
+
+
+@register("recall_goal_check", with_views(["scored_labels"], f"""SELECT recall, recall - base AS improvement,
   recall >= 0.65 AS meets_minimum, recall >= 0.75 AS meets_stretch
-FROM (SELECT {sdiv('tp', 'tp + fn')} AS recall FROM (SELECT {_CM} FROM scored_labels) c) t"""))
+FROM (SELECT {sdiv('tp', 'p')} AS recall, {sdiv('btp', 'p')} AS base
+      FROM (SELECT count(CASE WHEN label = 1 THEN 1 END) AS p, count(CASE WHEN label = 1 AND {_RECALL_AT} THEN 1 END) AS tp,
+                   count(CASE WHEN label = 1 AND {_BASELINE_AT} THEN 1 END) AS btp FROM scored_labels) c) t"""))
 def q_recall_goal_check(spark, sf):
-    return mt.recall_goal_check(mt.classification_metrics(scored_labels(spark, sf), "label", "score"))
+    """The rule score's recall against the goals and against a plain amount limit as the baseline."""
+    fraud = F.col("label") == 1
+    counts = scored_labels(spark, sf).agg(mt.count_if(fraud).alias("p"),
+                                          mt.count_if(fraud & F.expr(_RECALL_AT)).alias("tp"),
+                                          mt.count_if(fraud & F.expr(_BASELINE_AT)).alias("btp"))
+    recalls = counts.select(mt.safe_div(F.col("tp"), F.col("p")).alias("recall"),
+                            mt.safe_div(F.col("btp"), F.col("p")).alias("base"))
+    return mt.recall_goal_check(recalls, F.col("base"))
 
 
 # --- multi-model leaderboard ----------------------------------------------------------------------
@@ -267,14 +286,14 @@ _RANKED = """SELECT claim_id, label,
   CASE WHEN r <= CAST(floor(n_label * 0.2 + 0.5) AS BIGINT) THEN 'test' ELSE 'train' END AS split
 FROM ranked""", extra=[("ranked", _RANKED)]))
 def q_stratified_split(spark, sf):
-    s = scored_labels(spark, sf).select("claim_id", "label")
+    s = _labels_table(spark, sf).select("claim_id", "label")
     return ml.stratified_split(s, "label", "claim_id", test_fraction=0.2).select("claim_id", "label", "split")
 
 
 @register("stratified_kfold", with_views(["scored_labels"], """SELECT claim_id, label,
   CAST((r - 1) % 5 AS INTEGER) AS fold FROM ranked""", extra=[("ranked", _RANKED)]))
 def q_stratified_kfold(spark, sf):
-    s = scored_labels(spark, sf).select("claim_id", "label")
+    s = _labels_table(spark, sf).select("claim_id", "label")
     return ml.stratified_kfold(s, "label", "claim_id", k=5).select("claim_id", "label", "fold")
 
 
@@ -294,8 +313,7 @@ FROM (SELECT fold, CAST(sum(CAST(pos AS HUGEINT) * (2 * negle - neg)) AS DOUBLE)
                   GROUP BY fold, score) x) y
       GROUP BY fold) t""", extra=[("ranked", _RANKED)]))
 def q_cv_summary(spark, sf):
-    s = scored_labels(spark, sf)
-    folds = ml.stratified_kfold(s.select("claim_id", "label", "score"), "label", "claim_id", k=5)
+    folds = ml.stratified_kfold(_labels_table(spark, sf), "label", "claim_id", k=5)
     per_fold = mt.roc_auc(folds, "label", "score", ("fold",)).select(
         F.lit("rule").alias("model"), F.lit("roc_auc").alias("metric"), "fold", F.col("roc_auc").alias("value"))
     out = mt.cv_summary(per_fold)
@@ -336,12 +354,21 @@ def q_cardinality_profile(spark, sf):
     return pf.cardinality_profile(pl.merged_claims(spark, sf))
 
 
-CONTRAST_FEATURES = [c for c in FINAL_FEATURES if c not in (
-    "PotentialFraud", "CostPerCondition", "ClaimAmountLog", "DeductibleRatio", "AgeRiskGroup", "PartBCoverageRatio",
-    "IPMonthlyAvg", "OPMonthlyAvg", "RaceRiskGroup")]
+CONTRAST_FEATURES = [c for c in FINAL_FEATURES if c != "PotentialFraud"]
+# Doubles are summed as decimals of six places on both engines; the queries present nine digits.
+DOUBLE_FEATURES = ("CostPerCondition", "ClaimAmountLog", "DeductibleRatio", "AgeRiskGroup", "PartBCoverageRatio",
+                   "IPMonthlyAvg", "OPMonthlyAvg", "RaceRiskGroup")
+_CONTRAST_FT = ("SELECT coalesce(PotentialFraud, 0) AS PotentialFraud, " + ", ".join(
+    f"CAST(coalesce({c}, 0) AS DECIMAL(18,6)) AS {c}" if c in DOUBLE_FEATURES else f"coalesce({c}, 0) AS {c}"
+    for c in CONTRAST_FEATURES) + " FROM featured")
+
+
+def _digits(df, *cols):
+    return df.select(*[F.round(c, 9).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-_LC_BODY = """SELECT feature, fraud_avg, normal_avg, fraud_avg / normal_avg AS ratio,
+_LC_BODY = """SELECT feature, round(fraud_avg, 9) AS fraud_avg, round(normal_avg, 9) AS normal_avg,
+  round(fraud_avg / normal_avg, 9) AS ratio,
   CASE WHEN fraud_avg / normal_avg > 1.5 THEN 'higher' WHEN fraud_avg / normal_avg < 0.7 THEN 'lower'
        ELSE 'similar' END AS band
 FROM means WHERE normal_avg <> 0"""
@@ -354,15 +381,13 @@ def _contrast_sql(body: str) -> str:
         f"CAST(sum(CASE WHEN PotentialFraud = 0 THEN {c} END) AS DOUBLE) "
         f"/ CAST(nullif(count(CASE WHEN PotentialFraud = 0 THEN {c} END), 0) AS DOUBLE) AS normal_avg FROM ft"
         for c in CONTRAST_FEATURES)
-    ft = ("SELECT coalesce(PotentialFraud, 0) AS PotentialFraud, "
-          + ", ".join(f"coalesce({c}, 0) AS {c}" for c in CONTRAST_FEATURES) + " FROM featured")
-    return with_views(["featured"], body, extra=[("ft", ft), ("means", unions)])
+    return with_views(["featured"], body, extra=[("ft", _CONTRAST_FT), ("means", unions)])
 
 
 @register("label_contrast", _contrast_sql(_LC_BODY + " ORDER BY ratio DESC, feature"))
 def q_label_contrast(spark, sf):
     ft = pl.feature_table(spark, sf)
-    return pf.label_contrast(ft, "PotentialFraud", CONTRAST_FEATURES)
+    return _digits(pf.label_contrast(ft, "PotentialFraud", CONTRAST_FEATURES), "fraud_avg", "normal_avg", "ratio")
 
 
 def _any(needles) -> str:
@@ -380,11 +405,11 @@ def q_feature_category(spark, sf):
 
 
 @register("feature_name_regex", _contrast_sql(
-    f"SELECT count(*) AS matching_features, round(sum(ratio), 12) AS ratio_sum FROM ({_LC_BODY}) t "
+    f"SELECT count(*) AS matching_features, round(sum(ratio), 9) AS ratio_sum FROM ({_LC_BODY}) t "
     f"WHERE regexp_matches(feature, '{REPORT_FEATURE_PATTERN}')"))
 def q_feature_name_regex(spark, sf):
     lc = q_label_contrast(spark, sf)
-    return pf.feature_name_regex(lc, "feature", REPORT_FEATURE_PATTERN, "ratio")
+    return pf.feature_name_regex(lc, "feature", REPORT_FEATURE_PATTERN, "ratio", digits=9)
 
 
 @register("rank_rows", with_views(["claims", "predictions", "investigations"], """SELECT
@@ -395,7 +420,7 @@ FROM (SELECT c.provider_id, CAST(sum(c.claim_amount) AS DECIMAL(22,2)) AS total_
       LEFT JOIN investigations i ON c.claim_id = i.claim_id GROUP BY c.provider_id) t
 ORDER BY rank LIMIT 10"""))
 def q_rank_rows(spark, sf):
-    ps = dash.provider_statistics(*op.operational_tables(spark, sf))
+    ps = dash.provider_statistics(*op.operational_tables(spark, sf, ("provider_id",)))
     top = ps.orderBy(F.col("total_claim_amount").desc(), "provider_id").limit(10)
     # Window over a ten-row result: bounded, so a global order here is safe.
     w = Window.orderBy(F.col("total_claim_amount").desc(), "provider_id")
@@ -416,33 +441,32 @@ def _ttest_sql() -> str:
         parts = []
         for g in (1, 0):
             v = f"CASE WHEN PotentialFraud = {g} THEN {c} END"
-            parts += [f"count({v}) AS n{g}", f"sum({v}) AS s{g}", f"sum({v} * {v}) AS q{g}"]
+            wide = f"CAST({v} AS DECIMAL(26,6))" if c in DOUBLE_FEATURES else v
+            n, s, q = f"count({v})", f"sum({v})", f"sum({wide} * {wide})"
+            if c in DOUBLE_FEATURES:
+                var = (f"(CAST({q} AS DOUBLE) - CAST({s} AS DOUBLE) * CAST({s} AS DOUBLE) / CAST(nullif({n}, 0) AS DOUBLE)) "
+                       f"/ CAST(nullif({n} - 1, 0) AS DOUBLE)")
+            else:
+                var = (f"CAST(CAST({n} AS DECIMAL(20,0)) * {q} - {s} * {s} AS DOUBLE) "
+                       f"/ CAST(nullif({n} * ({n} - 1), 0) AS DOUBLE)")
+            parts += [f"{n} AS n{g}", f"CAST({s} AS DOUBLE) / CAST(nullif({n}, 0) AS DOUBLE) AS m{g}", f"{var} AS v{g}"]
         return f"SELECT '{c}' AS feature, " + ", ".join(parts) + " FROM ft"
     unions = "\nUNION ALL\n".join(agg(c) for c in CONTRAST_FEATURES)
-    ft = ("SELECT coalesce(PotentialFraud, 0) AS PotentialFraud, "
-          + ", ".join(f"coalesce({c}, 0) AS {c}" for c in CONTRAST_FEATURES) + " FROM featured")
-
-    def var(g):
-        return (f"CAST(CAST(n{g} AS DECIMAL(20,0)) * q{g} - s{g} * s{g} AS DOUBLE) "
-                f"/ CAST(nullif(n{g} * (n{g} - 1), 0) AS DOUBLE)")
-    body = f"""SELECT feature, fraud_mean, normal_mean, fraud_mean / nullif(normal_mean, 0) AS ratio,
-  (fraud_mean - normal_mean) / nullif(sqrt(sp2 * (1.0 / CAST(n1 AS DOUBLE) + 1.0 / CAST(n0 AS DOUBLE))), 0) AS t_stat,
-  dof,
-  CASE WHEN fraud_mean / nullif(normal_mean, 0) > 2 THEN 'much_higher'
-       WHEN fraud_mean / nullif(normal_mean, 0) < 0.5 THEN 'much_lower' ELSE 'moderate' END AS band
+    ratio = "CASE WHEN m0 <> 0 THEN m1 / m0 WHEN m1 <> 0 THEN m1 ELSE 1.0 END"
+    body = f"""SELECT feature, round(m1, 9) AS fraud_mean, round(m0, 9) AS normal_mean, round(ratio, 9) AS ratio,
+  round((m1 - m0) / nullif(sqrt(sp2 * (1.0 / CAST(n1 AS DOUBLE) + 1.0 / CAST(n0 AS DOUBLE))), 0), 9) AS t_stat, dof,
+  CASE WHEN ratio > 2 THEN 'much_higher' WHEN ratio < 0.5 THEN 'much_lower' ELSE 'moderate' END AS band
 FROM (SELECT *, (CAST(n1 - 1 AS DOUBLE) * v1 + CAST(n0 - 1 AS DOUBLE) * v0) / CAST(nullif(dof, 0) AS DOUBLE) AS sp2
-      FROM (SELECT feature, n1, n0, n1 + n0 - 2 AS dof,
-                   CAST(s1 AS DOUBLE) / CAST(nullif(n1, 0) AS DOUBLE) AS fraud_mean,
-                   CAST(s0 AS DOUBLE) / CAST(nullif(n0, 0) AS DOUBLE) AS normal_mean,
-                   {var(1)} AS v1, {var(0)} AS v0 FROM sums) a) b"""
-    return with_views(["featured"], body, extra=[("ft", ft), ("sums", unions)])
+      FROM (SELECT *, n1 + n0 - 2 AS dof, CAST({ratio} AS DOUBLE) AS ratio FROM sums) a) b"""
+    return with_views(["featured"], body, extra=[("ft", _CONTRAST_FT), ("sums", unions)])
 
 
 @register("label_ttest", _ttest_sql())
 def q_label_ttest(spark, sf):
     """Pooled two-sample t statistic and degrees of freedom per feature (p-value: label_ttest_pvalue)."""
     ft = pl.feature_table(spark, sf)
-    return pf.label_ttest(ft, "PotentialFraud", CONTRAST_FEATURES, with_p=False)
+    out = pf.label_ttest(ft, "PotentialFraud", CONTRAST_FEATURES, with_p=False)
+    return _digits(out, "fraud_mean", "normal_mean", "ratio", "t_stat")
 
 
 @register("label_ttest_pvalue", None)

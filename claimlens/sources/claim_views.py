@@ -11,8 +11,6 @@ the same data so that the dashboard queries scale with the input.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,17 +32,21 @@ def _lines_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(orders, li.l_orderkey == orders.o_orderkey, "inner")
 
 
-def _line_columns(inpatient: bool) -> list[Column]:
+def _line_columns(inpatient: bool, claim_id: Column | None = None, stays: Column | None = None) -> list[Column]:
+    """Claim-line columns; ``stays`` limits the admission dates to the rows where it holds."""
     amt = F.col("l_extendedprice").cast("decimal(12,2)")
     cols = [
-        F.col("l_orderkey").cast("string").alias("ClaimID"),
+        (F.col("l_orderkey").cast("string") if claim_id is None else claim_id).alias("ClaimID"),
         F.col("o_custkey").cast("string").alias("BeneID"),
         F.col("l_suppkey").cast("string").alias("Provider"),
         amt.alias(AMT),
         (amt * F.col("l_discount").cast("decimal(4,2)")).cast("decimal(16,4)").alias(DED),
     ]
     if inpatient:
-        cols += [F.to_date("o_orderdate").alias("AdmissionDt"), F.to_date("l_shipdate").alias("DischargeDt")]
+        admitted, discharged = F.to_date("o_orderdate"), F.to_date("l_shipdate")
+        if stays is not None:
+            admitted, discharged = F.when(stays, admitted), F.when(stays, discharged)
+        cols += [admitted.alias("AdmissionDt"), discharged.alias("DischargeDt")]
     cols += [
         F.to_date("o_orderdate").alias("ClaimStartDt"),
         F.to_date("l_shipdate").alias("ClaimEndDt"),
@@ -70,6 +72,17 @@ def outpatient_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(*_line_columns(False), F.lit(1).alias("ClaimSource"))
 
 
+def claim_lines(spark: SparkSession, sf_dir: str, integer_key: bool = False) -> DataFrame:
+    """All claim lines in one scan and one join: the rows of the inpatient and outpatient views stacked.
+
+    With ``integer_key`` the claim id stays the integer that the orders join is dealt by, so a
+    later aggregate on it needs no further exchange."""
+    j = _lines_joined(spark, sf_dir).where(F.col("l_linestatus").isNotNull())
+    stays = F.col("l_linestatus") == "F"
+    key = F.col("l_orderkey") if integer_key else None
+    return j.select(*_line_columns(True, key, stays), F.when(stays, 0).otherwise(1).alias("ClaimSource"))
+
+
 def beneficiary(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
     k = F.col("c_custkey")
@@ -115,7 +128,3 @@ def provider_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def provider_profile_key(provider: Column) -> Column:
     """Fixture mapping of a provider id onto one of the eight provider profiles."""
     return F.concat(F.lit("PRV00"), ((provider.try_cast("bigint") % 8) + 1).cast("string"))
-
-
-def chronic_sum(df: DataFrame, names: list[str]) -> Column:
-    return reduce(lambda a, b: a + b, [F.coalesce(F.col(n), F.lit(0)) for n in names])

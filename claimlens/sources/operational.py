@@ -28,9 +28,19 @@ CLAIMS_COLUMNS = (
 )
 
 
-def claims_table(spark: SparkSession, sf_dir: str, materialized: bool = True) -> DataFrame:
-    """The claims table, written once per call (a stage boundary) unless ``materialized=False``."""
+#: What ``score_claims`` reads of a claim.
+SCORING_COLUMNS = ("claim_id", "claim_amount", "hospital_stay_days", "patient_total_claims", "patient_age",
+                   "chronic_diabetes", "chronic_heartfailure", "chronic_cancer", "chronic_kidney", "submission_date")
+
+
+def claims_table(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] | None = None,
+                 materialized: bool = False) -> DataFrame:
+    """The claims table, or the named columns of it; a lazy plan unless ``materialized``.
+
+    ``materialized=True`` writes it once, bucketed by claim_id: for plans that read it several times."""
     df = _claims_plan(spark, sf_dir)
+    if columns is not None:
+        df = df.select(*columns)
     return materialize(df, "claims", bucket_by="claim_id") if materialized else df
 
 
@@ -80,8 +90,10 @@ def chronic4(df: DataFrame):
                                              "chronic_kidney"))
 
 
-def score_claims(claims: DataFrame, model_probability=None) -> DataFrame:
-    """Model probability if given, else the rule probability; then tier, score and factors."""
+def score_claims(claims: DataFrame, model_probability=None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row's model probability where it has one, else the rule probability; then tier, score and factors.
+
+    ``keep`` names claim columns to carry along."""
     c = F.col
     heur = rules.heuristic_probability(c("claim_amount"), c("hospital_stay_days"), c("patient_total_claims"),
                                        c("patient_age"), chronic4(claims))
@@ -98,6 +110,7 @@ def score_claims(claims: DataFrame, model_probability=None) -> DataFrame:
         F.lit("v1.0").alias("model_version"),
         c("submission_date").alias("prediction_timestamp"),
         F.lit(False).alias("investigated"),
+        *keep,
     )
 
 
@@ -152,9 +165,13 @@ def investigations_table(spark: SparkSession, sf_dir: str, predictions: DataFram
     )
 
 
-def operational_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(claims, predictions, investigations) sharing one written claims table."""
-    c = claims_table(spark, sf_dir)
+def operational_tables(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] | None = None
+                       ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(claims, predictions, investigations) sharing one written claims table.
+
+    ``extra`` names the claim columns read beside those for scoring; None writes all."""
+    columns = None if extra is None else (*SCORING_COLUMNS, *extra)
+    c = claims_table(spark, sf_dir, columns, materialized=True)
     p = predictions_table(spark, sf_dir, claims=c)
     return c, p, investigations_table(spark, sf_dir, predictions=p)
 

@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from claimlens.session import ensure_checkpoint_dir
 from claimlens.sources import operational as op
+from claimlens.sources.materialize import materialize
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -147,7 +148,7 @@ def _feed_files(df: DataFrame, minimum: int = 4, rows_per_file: int = 5_000_000)
 
 
 def run_stream_score(spark: SparkSession, sf_dir: str, files: int | None = None) -> DataFrame:
-    claims = op.claims_table(spark, sf_dir)
+    claims = materialize(op.claims_table(spark, sf_dir), "streamed_claims")
     base = _scratch(spark, "score")
     history = claims.select("patient_id", "patient_total_claims", "patient_provider_count").distinct()
     history.write.mode("overwrite").parquet(os.path.join(base, "history"))

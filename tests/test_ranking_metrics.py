@@ -61,10 +61,48 @@ def test_balance_check(spark):
     assert r["positive_rate"] == 0.3 and r["severe_imbalance"] is False
 
 
-def test_t_pvalue():
-    from claimlens.functions.stats_math import t_two_sided_p_scalar
-    assert abs(t_two_sided_p_scalar(2.0, 10.0) - 0.0733880) < 1e-6
-    assert abs(t_two_sided_p_scalar(0.0, 5.0) - 1.0) < 1e-12
+def test_t_pvalue_closed_form(spark):
+    from claimlens.operators import profiling as pf
+    rows = [(0, 1.0, 5), (0, 2.0, 5), (0, 3.0, 5), (1, 4.0, 5), (1, 5.0, 5), (1, 6.0, 5)]
+    df = spark.createDataFrame(rows, "y int, x double, flat int")
+    r = {x["feature"]: x for x in pf.label_ttest(df, "y", ["x", "flat"]).collect()}
+    t = 3 / (2 / 3) ** 0.5
+    assert abs(r["x"]["t_stat"] - t) < 1e-12 and r["x"]["dof"] == 4
+    u = t * t / 4  # Student's distribution with four degrees of freedom has a closed form
+    cdf = 0.5 + 0.375 * t / (1 + u) ** 0.5 * (1 - u / (1 + u) / 3)
+    assert abs(r["x"]["p_value"] - 2 * (1 - cdf)) < 1e-9
+    assert r["flat"]["t_stat"] is None and r["flat"]["p_value"] is None and r["flat"]["ratio"] == 1.0
+
+
+def test_zero_mean_ratio(spark):
+    from claimlens.operators import profiling as pf
+    df = spark.createDataFrame([(0, 0, 0), (0, 0, 0), (1, 3, 0), (1, 5, 0)], "y int, a int, b int")
+    r = {x["feature"]: x["ratio"] for x in pf.label_ttest(df, "y", ["a", "b"], with_p=False).collect()}
+    assert r == {"a": 4.0, "b": 1.0}
+
+
+def test_histogram_keeps_empty_bins(spark):
+    df = spark.createDataFrame([(0.0,), (0.1,), (1.0,), (None,)], "p double")
+    got = [(r["bin"], r["count"]) for r in mt.probability_histogram(df, "p", 10).orderBy("bin").collect()]
+    assert got == [(0, 1), (1, 1), *[(i, 0) for i in range(2, 9)], (9, 1)]
+    assert mt.probability_histogram(df.where("p > 2"), "p", 10).count() == 0
+    flat = mt.probability_histogram(df.where("p = 1"), "p", 4).orderBy("bin").collect()
+    assert [r["count"] for r in flat] == [1, 0, 0, 0]
+
+
+def test_exact_quantiles_match_percentile(spark, monkeypatch):
+    from claimlens.operators import quantiles as qt
+    monkeypatch.setattr(qt, "VALUES_PER_SLICE", 50)  # several slices
+    df = spark.range(1000).select((F.col("id") * 7919 % 613).cast("decimal(12,2)").alias("v"),
+                                  (F.col("id") % 5).alias("w")).unionByName(
+        spark.createDataFrame([(None, 3)], "v decimal(12,2), w bigint"))
+    got = qt.exact_quantiles([qt.value_counts(df, "a", "v"), qt.value_counts(df, "b", "v", "w"),
+                              qt.value_counts(df.where("v < 0"), "none", "v")],
+                             {"a1": ("a", 0.1), "a9": ("a", 0.99), "b5": ("b", 0.5), "a0": ("a", 0.0),
+                              "a100": ("a", 1.0), "n": ("none", 0.5)})
+    ref = df.agg(*[F.percentile("v", F.lit(p)).alias(n) for n, p in (("a1", .1), ("a9", .99), ("a0", .0), ("a100", 1.0))],
+                 F.percentile("v", F.lit(0.5), F.col("w")).alias("b5")).first().asDict()
+    assert got == {**ref, "n": None}
 
 
 def test_common_prefix_strings_spread_over_slices(spark):
