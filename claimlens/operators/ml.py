@@ -19,7 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimlens.config import (COARSE_GRID, COARSE_GRID_MAX_TRIALS, DOMINANT_FEATURE_THRESHOLD, MODEL_PRESETS,
+from claimlens.config import (COARSE_GRID, DOMINANT_FEATURE_THRESHOLD, MODEL_PRESETS,
                               OVERFIT_MODERATE_GAP, OVERFIT_SIGNIFICANT_GAP, PATIENT_IMPORTANCE_THRESHOLD,
                               PROVIDER_IMPORTANCE_THRESHOLD, SEED)
 from claimlens.operators import metrics as mt
@@ -68,11 +68,6 @@ def hash_sample(df: DataFrame, key: str, n: int, seed: int = SEED) -> DataFrame:
     return df.withColumn("__h", hash_key(key, seed)).orderBy("__h").limit(n).drop("__h")
 
 
-def stratified_sample(df: DataFrame, label: str, fraction: float, seed: int = SEED) -> DataFrame:
-    fractions = {r[0]: fraction for r in df.select(label).distinct().collect()}
-    return df.sampleBy(label, fractions, seed)
-
-
 # --- learners (M4-M6) ------------------------------------------------------------------------------
 
 def assembler(features: list[str], out: str = "features") -> VectorAssembler:
@@ -105,6 +100,7 @@ def gbt_params(preset: dict) -> dict:
     if "min_child_weight" in preset:
         out["minInstancesPerNode"] = int(preset["min_child_weight"])
     if "gamma" in preset:
+        # A loss reduction per split has no equal; a hundredth of it as information gain, by convention.
         out["minInfoGain"] = float(preset["gamma"]) / 100.0
     return out
 
@@ -155,6 +151,8 @@ def cross_validate(df: DataFrame, features: list[str], make_pipeline, label: str
         for r in bm:
             rows.append((model_name, f, f"precision@{r['threshold']}", float(r["precision"])))
             rows.append((model_name, f, f"recall@{r['threshold']}", float(r["recall"])))
+            rows.append((model_name, f, f"flagged_rate@{r['threshold']}", float(r["flagged_rate"])))
+        rows.append((model_name, f, "average_precision", bm[0]["average_precision"]))
     folds.unpersist()
     return spark.createDataFrame(rows, "model string, fold int, metric string, value double")
 
@@ -173,19 +171,16 @@ def model_comparison(df: DataFrame, features: list[str], presets=("optimized", "
                      label: str = "label", key: str = "key", k: int = 3, **overrides) -> DataFrame:
     results = None
     for name in presets:
-        try:
-            r = cross_validate(df, features, lambda n=name: gbt_pipeline(features, n, label, **overrides), label, key,
-                               k, name)
-        except Exception:  # a failing preset is recorded, not fatal
-            r = df.sparkSession.createDataFrame([(name, -1, "roc_auc", None)],
-                                                "model string, fold int, metric string, value double")
+        r = cross_validate(df, features, lambda n=name: gbt_pipeline(features, n, label, **overrides), label, key,
+                           k, name)
         results = r if results is None else results.unionByName(r)
     return results
 
 
 # M11
-def coarse_grid(max_trials: int = COARSE_GRID_MAX_TRIALS) -> list[dict]:
-    """Ordered grid n_estimators x max_depth x learning_rate, truncated to ``max_trials``."""
+def coarse_grid(max_trials: int | None = None) -> list[dict]:
+    """Ordered grid n_estimators x max_depth x learning_rate: all of it, or the first ``max_trials``
+    (``COARSE_GRID_MAX_TRIALS`` for the application's own list)."""
     g = COARSE_GRID
     combos = itertools.product(g["n_estimators"], g["max_depth"], g["learning_rate"])
     return [dict(n_estimators=n, max_depth=d, learning_rate=lr, subsample=0.9, random_state=SEED)
@@ -282,7 +277,8 @@ class ModelStore:
         from pyspark.sql import SparkSession
         spark = SparkSession.getActiveSession()
         for p in self.paths:
-            if os.path.exists(p):
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+            if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
                 feats = [r["feature"] for r in spark.read.parquet(os.path.join(p, "_features")).orderBy("position")
                          .collect()]
                 return PipelineModel.load(p), feats

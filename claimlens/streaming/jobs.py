@@ -11,7 +11,8 @@ ST2 keeps the daily summary incrementally: event time is the submission time
 tumbling one-day windows are emitted in append mode once closed.
 
 ST3 keeps the dashboard counters per risk level as streaming state and writes
-the complete table each micro-batch.
+the complete table each micro-batch to a folder of its own; readers take the
+last finished one, so a table is never seen half-written.
 
 All checkpoints live under the session's shared checkpoint folder.
 """
@@ -30,39 +31,44 @@ from claimlens.sources import operational as op
 from claimlens.sources.materialize import materialize
 
 
+#: Tasks that write one arrival of a feed.
+WRITERS = 8
+
+
 def _scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex}")
 
 
-def _feed_parts(df: DataFrame, parts: int, order_col: str | None) -> list:
-    """Row filters splitting ``df`` into ``parts`` arriving batches (time ranges when ordered)."""
+def _arrival(df: DataFrame, parts: int, order_col: str | None):
+    """The number of the arriving batch of a row: time ranges when ordered, else dealt by hash."""
     if not order_col:
-        h = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns[:1]]), F.lit(parts))
-        return [h == i for i in range(parts)]
+        return F.pmod(F.xxhash64(*[F.col(c) for c in df.columns[:1]]), F.lit(parts)).cast("int")
     t = F.col(order_col).cast("timestamp").cast("double")
     bounds = df.select(t.alias("__t")).agg(
         F.percentile_approx("__t", [i / parts for i in range(1, parts)], 10000)).first()[0] or []
-    edges = [None] + sorted(set(float(b) for b in bounds)) + [None]
-    conds = []
-    for lo, hi in zip(edges[:-1], edges[1:]):
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (t > lo)
-        if hi is not None:
-            cond = cond & (t <= hi)
-        conds.append(cond)
-    return conds
+    if not bounds:
+        return F.lit(0)
+    edges = F.array(*[F.lit(b) for b in sorted(set(float(b) for b in bounds))])
+    return F.when(t.isNull(), 0).otherwise(F.size(F.filter(edges, lambda edge: edge < t)))
 
 
 def feed_and_run(df: DataFrame, path: str, parts: int, order_col: str | None, run_once) -> T.StructType:
     """Deliver ``df`` to ``path`` as ``parts`` arriving batches, running the stream after each.
 
-    Each arrival is written, then the streaming query runs with ``availableNow``
-    on the same checkpoint, so batches are processed strictly in arrival order
-    (time order when ``order_col`` is given) -- as a live feed would deliver them
-    -- independent of file modification-time resolution."""
-    for cond in _feed_parts(df, parts, order_col):
-        df.where(cond).write.mode("append").parquet(path)
+    The rows are written once, partitioned by their arrival number; each arrival reads its own
+    partition only. Then the streaming query runs with ``availableNow`` on the same checkpoint, so
+    batches are processed strictly in arrival order (time order when ``order_col`` is given, rows
+    without a time first) -- as a live feed would deliver them -- independent of file
+    modification-time resolution."""
+    spark = df.sparkSession
+    staged = f"{path}-arrivals"
+    spread = F.pmod(F.xxhash64(F.col(df.columns[0])), F.lit(WRITERS))
+    (df.withColumn("__arrival", _arrival(df, parts, order_col)).repartition(F.col("__arrival"), spread)
+       .write.partitionBy("__arrival").parquet(staged))
+    fields = [*df.schema.fields, T.StructField("__arrival", T.IntegerType())]
+    arrivals = spark.read.schema(T.StructType(fields)).parquet(staged)
+    for number in range(parts):
+        arrivals.where(F.col("__arrival") == number).drop("__arrival").write.mode("append").parquet(path)
         run_once()
     return df.schema
 
@@ -133,13 +139,20 @@ def stream_dashboard(spark: SparkSession, source: str, schema: T.StructType, sin
                                         F.lit(0.0)).alias("avg_probability")))
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(sink)
+        batch.write.mode("overwrite").parquet(os.path.join(sink, f"batch={batch_id}"))
 
     q = (counters.writeStream.outputMode("complete").foreachBatch(publish)
                  .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
+def last_dashboard(spark: SparkSession, sink: str) -> DataFrame:
+    """The counters as of the last micro-batch."""
+    published = spark.read.parquet(sink)
+    last = published.agg(F.max("batch")).first()[0]
+    return published.where(F.col("batch") == last).drop("batch")
+
+
 # Registered end-to-end runs over the driver tables -------------------------------------------------
 
 def _feed_files(df: DataFrame, minimum: int = 4, rows_per_file: int = 5_000_000) -> int:
@@ -161,7 +174,7 @@ def run_stream_score(spark: SparkSession, sf_dir: str, files: int | None = None)
 
 
 def run_stream_daily(spark: SparkSession, sf_dir: str, files: int | None = None, delay: str = "1 day") -> DataFrame:
-    c, p, _ = op.operational_tables(spark, sf_dir)
+    c, p, _ = op.operational_tables(spark, sf_dir, ())
     rows = c.select("claim_id", "submission_date", "claim_amount").join(
         p.select("claim_id", "risk_level", "fraud_probability"), "claim_id", "left")
     base = _scratch(spark, "daily")
@@ -173,9 +186,10 @@ def run_stream_daily(spark: SparkSession, sf_dir: str, files: int | None = None,
 
 
 def run_stream_dashboard(spark: SparkSession, sf_dir: str, files: int | None = None) -> DataFrame:
-    p = op.predictions_table(spark, sf_dir).select("prediction_id", "risk_level", "fraud_probability")
+    p = materialize(op.predictions_table(spark, sf_dir).select("prediction_id", "risk_level", "fraud_probability"),
+                    "streamed_predictions")
     base = _scratch(spark, "dash")
     src = os.path.join(base, "in")
     feed_and_run(p, src, files or _feed_files(p), None,
                  lambda: stream_dashboard(spark, src, p.schema, os.path.join(base, "out"), os.path.join(base, "ckpt")))
-    return spark.read.parquet(os.path.join(base, "out"))
+    return last_dashboard(spark, os.path.join(base, "out"))

@@ -75,3 +75,12 @@ def test_drop_materialized(spark):
     assert df.count() == 10
     drop_materialized(spark)
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("claimlens_")]
+
+
+def test_feed_delivers_every_row_once(spark, tmp_path):
+    from claimlens.streaming import jobs
+    df = spark.range(100).select(F.col("id"), F.when(F.col("id") % 10 > 0, F.timestamp_seconds(F.col("id") * 60)).alias("t"))
+    src, seen = str(tmp_path / "in"), []
+    jobs.feed_and_run(df, src, 4, "t", lambda: seen.append(spark.read.parquet(src).count()))
+    assert len(seen) == 4 and seen == sorted(seen) and seen[-1] == 100
+    assert spark.read.parquet(src).exceptAll(df).count() == 0

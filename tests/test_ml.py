@@ -2,6 +2,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from claimlens.config import COARSE_GRID_MAX_TRIALS
 from claimlens.operators import metrics as mt
 from claimlens.operators import ml
 from claimlens.operators.oversample import smote
@@ -71,7 +72,7 @@ def test_leakage_rules(spark):
 
 def test_grid_order_and_cap():
     g = ml.coarse_grid()
-    assert len(g) == 31 and g[0]["n_estimators"] == 100 and g[0]["max_depth"] == 4 and g[0]["learning_rate"] == 0.05
+    assert len(g) == 36 and g[:31] == ml.coarse_grid(COARSE_GRID_MAX_TRIALS) and g[0]["n_estimators"] == 100 and g[0]["max_depth"] == 4 and g[0]["learning_rate"] == 0.05
     assert ml.overfit_gap(0.95, 0.9)[1] == "significant" and ml.overfit_gap(0.915, 0.9)[1] == "moderate"
 
 
@@ -83,3 +84,14 @@ def test_grid_search_runs_trials(spark):
     rows = out.orderBy("trial").collect()
     assert [r["trial"] for r in rows] == [0, 1] and all(r["beats_baseline"] for r in rows)
     assert len(ml.regularised_grid(trials[1])) == 9
+
+
+def test_model_store_by_url(spark, tmp_path):
+    df = _synthetic(spark, n=200)
+    model = ml.gbt_pipeline(FEATS, dict(n_estimators=2, max_depth=2)).fit(mt.with_class_weight(df, "label"))
+    store = ml.ModelStore((f"file://{tmp_path}/none", f"file://{tmp_path}/model"))
+    assert store.load() is None
+    store.save(model, FEATS, store.paths[1])
+    loaded, feats = store.load()
+    assert feats == FEATS and ml.score_batch(loaded, df).count() == 200
+    assert not store.features_match(feats, df.drop("feature1"))
