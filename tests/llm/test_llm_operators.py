@@ -247,6 +247,34 @@ def test_repeated_passages(spark, docs):
     assert compact_windows.repeated_passages(table(spark, [])).count() == 0
 
 
+def edited(words, rng, inserted=(), deleted=()):
+    """The words with a new one before each position of ``inserted`` and without those at ``deleted``."""
+    out = []
+    for i, w in enumerate(words):
+        out += ([f"new{rng.integers(10**12)}"] if i in inserted else []) + ([] if i in deleted else [w])
+    return out
+
+
+def test_repeated_passages_with_insertions_and_deletions(spark):
+    rng = np.random.default_rng(6)
+    some = lambda n: [f"w{x}" for x in rng.integers(0, 10**12, n)]
+    cases = {"inserted in the middle": (50, lambda p: edited(p, rng, [25])), "inserted anywhere": (50, lambda p: edited(p, rng, [int(rng.integers(1, 50))])),
+             "inserted, 55 words": (55, lambda p: edited(p, rng, [27])), "deleted, 55 words": (55, lambda p: edited(p, rng, deleted=[27])),
+             "two inserted, 80 words": (80, lambda p: edited(p, rng, [27, 53])), "inserted and deleted, 70 words": (70, lambda p: edited(p, rng, [23], [47]))}
+    rows, pairs = [], []
+    for name, (n, edit) in cases.items():
+        for _ in range(60):
+            passage = some(n)
+            copy = edit(passage)
+            x, y = shingles(" ".join(passage)), shingles(" ".join(copy))
+            assert len(x & y) / len(x | y) >= 0.75
+            pairs.append((name, len(rows), len(rows) + 1))
+            rows += [(len(rows), " ".join(some(60) + passage + some(60))), (len(rows) + 1, " ".join(some(70) + copy + some(50)))]
+    got = {(r["doc_id"], r["partner_id"]) for r in compact_windows.repeated_passages(table(spark, rows)).collect()}
+    recall = {name: sum((a, b) in got for n, a, b in pairs if n == name) / 60 for name in cases}
+    assert min(recall.values()) >= 0.98, recall
+
+
 def test_alignment_against_the_full_recursion():
     rng = np.random.default_rng(5)
     for _ in range(40):
