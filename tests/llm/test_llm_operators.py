@@ -275,6 +275,22 @@ def test_repeated_passages_with_insertions_and_deletions(spark):
     assert min(recall.values()) >= 0.98, recall
 
 
+def test_repeated_passages_behind_hubs_with_parts(spark):
+    rng = np.random.default_rng(8)
+    some = lambda n: [f"w{x}" for x in rng.integers(0, 10**12, n)]
+    rows, want = [], []
+    for n, parts in ((50, ((0, 40), (10, 50))), (60, ((0, 40), (10, 50), (20, 60)))):
+        for _ in range(60):
+            passage, at = some(n), len(rows)
+            rows += [(at + i, " ".join(some(60) + passage[a:b] + some(60))) for i, (a, b) in enumerate(parts)]
+            at = len(rows)
+            rows += [(at + i, " ".join(some(60) + passage + some(60))) for i in range(2)]
+            want.append((at, at + 1))
+    got = {(r["doc_id"], r["partner_id"]) for r in compact_windows.repeated_passages(table(spark, rows)).collect()}
+    missed = [p for p in want if p not in got]
+    assert not missed, len(missed)
+
+
 def test_alignment_against_the_full_recursion():
     rng = np.random.default_rng(5)
     for _ in range(40):
