@@ -180,6 +180,7 @@ def build_index(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS, degree
     """One row for each shard: dimension, node vectors (float64), ids of each node, and the flat neighbour arrays, as bytes."""
     own = _usable(vectors)
     per = Window.partitionBy("vector").orderBy("vec_id")
+    own = own.dropDuplicates(["vec_id", "vector"])  # repeated rows count once, before the limit
     ranked = own.withColumn("rank", F.row_number().over(per)).filter(F.col("rank") <= k + 1)  # limited before the shuffle, too
     nodes = ranked.groupBy("vector").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
     nodes = staged(nodes, "nodes")

@@ -380,3 +380,13 @@ def test_search_recall_ties_and_odd_vectors(spark):
     few = hnsw.nearest(df.filter("vec_id in (1, 2, 20)"), df.filter("vec_id = 20"), k=20).collect()
     assert {r["vec_id"] for r in few} == {1, 2}
     assert hnsw.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_search_counts_repeated_rows_once(spark):
+    rng = np.random.default_rng(12)
+    common, other = rng.normal(size=16).tolist(), rng.normal(size=(40, 16)).tolist()
+    rows = [(i, common) for i in range(30) for _ in range(25)] + [(100 + i, v) for i, v in enumerate(other)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = hnsw.nearest(df, df.filter("vec_id in (0, 29)"), k=20).collect()
+    for q in (0, 29):
+        assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == [i for i in range(30) if i != q][:20]
