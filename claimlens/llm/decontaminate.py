@@ -3,9 +3,11 @@
 Every run of four words of a test item is a seed (an item with fewer words is
 one seed). A first pass over all texts counts in how many documents each seed
 occurs. A seed is rare when that is at most ``rare_share`` of all documents, or
-at most twice the median over its item's seeds: common word runs drop out, and
-an item that leaked into thousands of documents keeps its seeds. In a second
-pass rare seeds join passages to items; around each group of hits the item is
+at most twice the median over its item's occurring seeds, or if it is one of the
+``FEW`` rarest occurring seeds of a stretch of ``STRETCH`` words of its item: an
+item that leaked into thousands of documents keeps its seeds, edited or not. In a
+second pass seeds join passages to items: a rare one by itself, other ones (common
+word runs) where two or more of an item are near each other. Around each group of hits the item is
 aligned with the passage's words (match 2, mismatch -1, gap -1), and the best
 local alignment, divided by that of the item with itself, is the score: 1 for an
 exact copy, less for paraphrased or edited ones.
@@ -35,6 +37,8 @@ from claimlens.llm.stage import staged
 SEED = 4
 LEAST_SCORE = 0.5
 RARE_SHARE = 0.001
+FEW = 4            # occurring seeds of a stretch that are used however frequent they are
+STRETCH = 16
 BLOCK_WORDS = 2_000_000
 RESULT = "doc_id long, item_id long, score double, start_word long, end_word long, n_seeds long"
 
@@ -84,15 +88,13 @@ def _block(ids: list, hashes: list[np.ndarray]) -> Block:
     return Block(ids, hashes, distinct, np.append(first, len(seeds)), np.array(items)[order], np.array(at)[order], np.array(size)[order][first])
 
 
-def _hits(w: W.Words, block: Block, usable: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _hits(w: W.Words, block: Block) -> tuple[np.ndarray, np.ndarray]:
     """(word index, seed index) of every seed occurrence in a chunk."""
     at, seed = [], []
     for n in np.unique(block.size):
         hashes, _, index = W.grams(w, int(n))
         where = np.minimum(np.searchsorted(block.seed, hashes), len(block.seed) - 1)
         found = block.seed[where] == hashes
-        if usable is not None:
-            found &= usable[where]
         at.append(index[found])
         seed.append(where[found])
     return np.concatenate(at), np.concatenate(seed)
@@ -118,11 +120,21 @@ def rare_seeds(docs: DataFrame, block: Block, rare_share: float = RARE_SHARE) ->
         else:
             df[r["seed"]] = r["n"]
     of_entry = np.repeat(np.arange(len(block.seed)), np.diff(block.entry))
-    limit = np.zeros(len(block.seed))
-    for i in range(len(block.ids)):
-        own = of_entry[block.item == i]
-        limit[own] = np.maximum(limit[own], 2 * np.median(df[own]))
-    return df <= np.maximum(limit, rare_share * rows)
+    occurs = df[of_entry] > 0
+    item, at, seed = block.item[occurs], block.at[occurs], of_entry[occurs]
+    rare = df <= rare_share * rows
+    order = np.lexsort((df[seed], item))
+    edge = np.flatnonzero(np.diff(item[order], prepend=-1, append=-1))  # first of each item, and the end
+    for a, b in zip(edge[:-1], edge[1:]):
+        own = seed[order[a:b]]
+        rare[own[df[own] <= 2 * np.median(df[own])]] = True
+    part = at // STRETCH
+    order = np.lexsort((at, df[seed], part, item))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(item[order]) != 0) | (np.diff(part[order]) != 0)
+    first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    rare[seed[order[np.arange(len(order)) - first < FEW]]] = True
+    return rare
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -152,14 +164,14 @@ def _best(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
 
 def _matches(w: W.Words, block: Block, usable: np.ndarray, least: float) -> Iterator[tuple[int, int, float, int, int, int]]:
     """(row, item, score, first word, end word, seeds) of every row and item that align well enough."""
-    at, seed = _hits(w, block, usable)
+    at, seed = _hits(w, block)
     n = np.diff(block.entry)[seed]
     hit = np.repeat(np.arange(len(seed)), n)
     entry = np.repeat(block.entry[seed], n) + np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n)
     row, item = w.row[at[hit]], block.item[entry]
     begin = at[hit] - block.at[entry]  # where the item's first word would be
     order = np.lexsort((begin, item, row))
-    row, item, begin = row[order], item[order], begin[order]
+    row, item, begin, seed = row[order], item[order], begin[order], seed[hit][order]
     edges = np.flatnonzero((np.diff(row) != 0) | (np.diff(item) != 0)) + 1
     for a, b in zip([0, *edges], [*edges, len(row)]):
         if a == b:
@@ -167,8 +179,10 @@ def _matches(w: W.Words, block: Block, usable: np.ndarray, least: float) -> Iter
         own, i, lo, hi = block.words[item[a]], int(row[a]), w.bounds[row[a]], w.bounds[row[a] + 1]
         slack = max(8, len(own) // 2)
         best = (0, 0, 0)
-        groups = np.split(begin[a:b], np.flatnonzero(np.diff(begin[a:b]) > len(own) + slack) + 1)
-        for group in groups:
+        cuts = np.flatnonzero(np.diff(begin[a:b]) > len(own) + slack) + 1
+        for group, of in zip(np.split(begin[a:b], cuts), np.split(seed[a:b], cuts)):
+            if not usable[of].any() and (of == of[0]).all():
+                continue
             left = max(lo, group[0] - slack)
             right = min(hi, group[-1] + len(own) + slack)
             score, first, end = align(own, w.hash[left:right])

@@ -322,6 +322,16 @@ SECRETS = ["password=token: abcdefghijklmnop SECRET: 'abc' api_key = \"ABCDEFGHI
            "x" * 30 + "1 " + "ab12" * 12]
 
 
+def test_edited_items_in_many_and_in_few_documents(spark):
+    item = [f"item{i}" for i in range(30)]
+    copy = " ".join(f"x{i}" if i % 5 == 4 else w for i, w in enumerate(item))
+    benchmark = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    for rows, copies in ((10, 1), (10, 4), (200, 40)):
+        df = table(spark, [(i, " ".join(f"d{i}q{k}" for k in range(30)) + (" " + copy if i < copies else "")) for i in range(rows)])
+        assert {r["doc_id"] for r in decontaminate.leaks(df, benchmark).collect()} == set(range(copies))
+        assert decontaminate.kept_rows(df, benchmark).count() == rows - copies
+
+
 def base_spans(text):
     t = text or ""
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
