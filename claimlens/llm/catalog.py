@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import compact_windows, decontaminate, hnsw, lattice, neardup, packing, quality, rank_merge, secrets, token_output
+from claimlens.llm import (compact_windows, decontaminate, hnsw, lattice, neardup, packing, quality, rank_merge, runs, secrets,
+                           token_alignment, token_output, url_rules)
 from claimlens.llm.stage import id_remainder, new_folder, staged
 from claimlens.sources.tables import read_table
 
@@ -69,6 +70,38 @@ def op10_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
 
 
+def op11_end_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_texts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                       public_tokenizers.path("piece_bpe_32k.model"))
+
+
+# The rules of operator 12 (verdict, host, path).
+URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+
+
+def op12_url_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    return url_rules.judge_urls(read_table(spark, sf_dir, "pages"), rules)
+
+
+#: Every rule against every page; the longest fitting one wins.
+OP12_SQL = f"""
+WITH rules(verdict, host, path) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
+rest AS (SELECT page_id, CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, row_number() OVER () AS n,
+                 translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+fits AS (SELECT p.page_id, p.host, p.path, r.host || r.path AS rule, r.verdict,
+                row_number() OVER (PARTITION BY p.n ORDER BY length(r.host || r.path) DESC NULLS LAST, length(r.host) DESC) AS place
+         FROM parts p LEFT JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE place = 1
+"""
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -76,10 +109,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_lattice_score, op2_circulant_minhash, op3_nb_svm_quality, op4_elias_fano_tokens, op5_length_buckets, op6_compact_windows,
-             op7_seeded_alignment, op8_randomness_battery, op9_rank_merge_counts, op10_hnsw_search, pipeline)
+             op7_seeded_alignment, op8_randomness_battery, op9_rank_merge_counts, op10_hnsw_search, op11_end_intersection, op12_url_intervals,
+             op13_periodic_runs, pipeline)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    """No query here is stated whole by SQL; each is tested against a brute-force version, a round trip or held-out labels."""
-    return {}
+    """The other queries are not stated whole by SQL; each is tested against a brute-force version, a round trip or held-out labels."""
+    return {"op12_url_intervals": OP12_SQL}
