@@ -157,49 +157,16 @@ def cross_validate(df: DataFrame, features: list[str], make_pipeline, label: str
     return spark.createDataFrame(rows, "model string, fold int, metric string, value double")
 
 
-# M9
-def early_stopping_fit(train: DataFrame, features: list[str], preset="optimized", label: str = "label",
-                       key: str = "key", validation_fraction: float = 0.2, tol: float = 0.01) -> PipelineModel:
-    """Inner stratified 80/20 marks validation rows; GBT stops when validation loss stalls."""
-    marked = stratified_split(train, label, key, validation_fraction)
-    marked = marked.withColumn("is_val", F.col("split") == "test").drop("split")
-    return gbt_pipeline(features, preset, label, validation_col="is_val", validationTol=tol).fit(marked)
-
-
-# M10
-def model_comparison(df: DataFrame, features: list[str], presets=("optimized", "conservative", "balanced"),
-                     label: str = "label", key: str = "key", k: int = 3, **overrides) -> DataFrame:
-    results = None
-    for name in presets:
-        r = cross_validate(df, features, lambda n=name: gbt_pipeline(features, n, label, **overrides), label, key,
-                           k, name)
-        results = r if results is None else results.unionByName(r)
-    return results
-
-
 # M11
 def coarse_grid(max_trials: int | None = None) -> list[dict]:
     """Ordered grid n_estimators x max_depth x learning_rate: all of it, or the first ``max_trials``
-    (``COARSE_GRID_MAX_TRIALS`` for the application's own list)."""
+    (``COARSE_GRID_MAX_TRIALS`` for the application's own list). Searched by ``operators.search``."""
     g = COARSE_GRID
     combos = itertools.product(g["n_estimators"], g["max_depth"], g["learning_rate"])
-    return [dict(n_estimators=n, max_depth=d, learning_rate=lr, subsample=0.9, random_state=SEED)
+    return [dict(n_estimators=n, max_depth=d, learning_rate=lr, subsample=0.9, colsample_bytree=0.9, random_state=SEED)
             for n, d, lr in itertools.islice(combos, max_trials)]
 
 
-def grid_search(train: DataFrame, valid: DataFrame, features: list[str], trials: list[dict], label: str = "label",
-                baseline_auc: float | None = None) -> DataFrame:
-    """Fit every trial on ``train``, AUC on ``valid``; trial table with a beats-baseline flag."""
-    rows = []
-    weighted = mt.with_class_weight(train, label)
-    for i, p in enumerate(trials):
-        _, _, auc = fit_score_auc(gbt_pipeline(features, p, label), weighted, valid, label)
-        rows.append((i, str(sorted(p.items())), float(auc) if auc is not None else None))
-    out = train.sparkSession.createDataFrame(rows, "trial int, params string, roc_auc double")
-    base = F.lit(baseline_auc).cast("double")
-    return out.withColumn("beats_baseline", F.col("roc_auc") > base)
-
-
 # M12
 def regularised_grid(best: dict) -> list[dict]:
     """3 x 3 around the best trial over the two tree regularisers MLlib has."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from claimlens.plans import queries_dashboard, queries_features, queries_io, queries_metrics, queries_ml  # noqa: F401
+from claimlens.plans import queries_dashboard, queries_features, queries_io, queries_metrics, queries_ml, queries_search  # noqa: F401
 from claimlens.plans.registry import REGISTRY
 
 
@@ -16,3 +16,8 @@ def oracle_sql():
 
 def bench_keys():
     return [k for k, e in REGISTRY.items() if e.bench]
+
+
+def long_keys():
+    """Queries that train many models."""
+    return [k for k, e in REGISTRY.items() if e.long]

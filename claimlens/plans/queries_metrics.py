@@ -355,7 +355,8 @@ def q_cardinality_profile(spark, sf):
 
 
 CONTRAST_FEATURES = [c for c in FINAL_FEATURES if c != "PotentialFraud"]
-# Doubles are summed as decimals of six places on both engines; the queries present nine digits.
+# Doubles are summed as decimals of six places on both engines; the queries present nine digits of ratios and
+# statistics and six of means: a mean in the millions has sixteen digits at nine places, the end of a double.
 DOUBLE_FEATURES = ("CostPerCondition", "ClaimAmountLog", "DeductibleRatio", "AgeRiskGroup", "PartBCoverageRatio",
                    "IPMonthlyAvg", "OPMonthlyAvg", "RaceRiskGroup")
 _CONTRAST_FT = ("SELECT coalesce(PotentialFraud, 0) AS PotentialFraud, " + ", ".join(
@@ -363,11 +364,14 @@ _CONTRAST_FT = ("SELECT coalesce(PotentialFraud, 0) AS PotentialFraud, " + ", ".
     for c in CONTRAST_FEATURES) + " FROM featured")
 
 
+MEANS = ("fraud_avg", "normal_avg", "fraud_mean", "normal_mean")
+
+
 def _digits(df, *cols):
-    return df.select(*[F.round(c, 9).alias(c) if c in cols else F.col(c) for c in df.columns])
+    return df.select(*[F.round(c, 6 if c in MEANS else 9).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-_LC_BODY = """SELECT feature, round(fraud_avg, 9) AS fraud_avg, round(normal_avg, 9) AS normal_avg,
+_LC_BODY = """SELECT feature, round(fraud_avg, 6) AS fraud_avg, round(normal_avg, 6) AS normal_avg,
   round(fraud_avg / normal_avg, 9) AS ratio,
   CASE WHEN fraud_avg / normal_avg > 1.5 THEN 'higher' WHEN fraud_avg / normal_avg < 0.7 THEN 'lower'
        ELSE 'similar' END AS band
@@ -453,7 +457,7 @@ def _ttest_sql() -> str:
         return f"SELECT '{c}' AS feature, " + ", ".join(parts) + " FROM ft"
     unions = "\nUNION ALL\n".join(agg(c) for c in CONTRAST_FEATURES)
     ratio = "CASE WHEN m0 <> 0 THEN m1 / m0 WHEN m1 <> 0 THEN m1 ELSE 1.0 END"
-    body = f"""SELECT feature, round(m1, 9) AS fraud_mean, round(m0, 9) AS normal_mean, round(ratio, 9) AS ratio,
+    body = f"""SELECT feature, round(m1, 6) AS fraud_mean, round(m0, 6) AS normal_mean, round(ratio, 9) AS ratio,
   round((m1 - m0) / nullif(sqrt(sp2 * (1.0 / CAST(n1 AS DOUBLE) + 1.0 / CAST(n0 AS DOUBLE))), 0), 9) AS t_stat, dof,
   CASE WHEN ratio > 2 THEN 'much_higher' WHEN ratio < 0.5 THEN 'much_lower' ELSE 'moderate' END AS band
 FROM (SELECT *, (CAST(n1 - 1 AS DOUBLE) * v1 + CAST(n0 - 1 AS DOUBLE) * v0) / CAST(nullif(dof, 0) AS DOUBLE) AS sp2

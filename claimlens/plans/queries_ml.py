@@ -101,13 +101,6 @@ def q_cross_validate(spark, sf):
                              "very_conservative")
 
 
-@register("early_stopping", None)
-def q_early_stopping(spark, sf):
-    train, test = _split(spark, sf)
-    model = ml.early_stopping_fit(mt.with_class_weight(train, LABEL), FEATURES, "conservative", LABEL, "key")
-    return _scored(model, test)
-
-
 @register("holdout_validation", None)
 def q_holdout_validation(spark, sf):
     """Baseline model vs tuned model on an untouched 20% test split."""
@@ -122,21 +115,6 @@ def q_holdout_validation(spark, sf):
     return out.withColumn("delta_vs_baseline", F.col("roc_auc") - F.lit(base))
 
 
-@register("overfit_gap", None)
-def q_overfit_gap(spark, sf):
-    """Train AUC - validation AUC per preset, banded."""
-    train, test = _split(spark, sf, 0.3)
-    weighted = mt.with_class_weight(train, LABEL)
-    rows = []
-    for preset in ("very_conservative", "conservative"):
-        model, _, val_auc = ml.fit_score_auc(ml.gbt_pipeline(FEATURES, preset), weighted, test, LABEL)
-        tr_auc = mt.roc_auc(ml.score_batch(model, train), LABEL, "fraud_probability").first()["roc_auc"]
-        rows.append((preset, float(tr_auc), float(val_auc)))
-    out = spark.createDataFrame(rows, "model string, train_auc double, valid_auc double")
-    gap = F.col("train_auc") - F.col("valid_auc")
-    return out.select("*", gap.alias("gap"), ml.overfit_band(gap).alias("band"))
-
-
 @register("single_split_validation", None)
 def q_single_split_validation(spark, sf):
     """One stratified split, AUC per preset. Fits on at most MAX_FIT_ROWS training rows (hash order)

@@ -16,15 +16,16 @@ class Entry:
     fn: QueryFn
     sql: str | None
     bench: bool = False
+    long: bool = False
 
 
 REGISTRY: dict[str, Entry] = {}
 
 
-def register(key: str, sql: str | None = None, bench: bool = False):
+def register(key: str, sql: str | None = None, bench: bool = False, long: bool = False):
     def deco(fn: QueryFn) -> QueryFn:
         if key in REGISTRY:
             raise ValueError(f"duplicate query key {key!r}")
-        REGISTRY[key] = Entry(key, fn, sql, bench)
+        REGISTRY[key] = Entry(key, fn, sql, bench, long)
         return fn
     return deco

@@ -76,14 +76,8 @@ def test_grid_order_and_cap():
     assert ml.overfit_gap(0.95, 0.9)[1] == "significant" and ml.overfit_gap(0.915, 0.9)[1] == "moderate"
 
 
-def test_grid_search_runs_trials(spark):
-    df = _synthetic(spark, n=400)
-    s = ml.stratified_split(df, "label", "key", 0.25)
-    trials = [dict(n_estimators=3, max_depth=2, learning_rate=0.1), dict(n_estimators=5, max_depth=3, learning_rate=0.2)]
-    out = ml.grid_search(s.where("split = 'train'"), s.where("split = 'test'"), FEATS, trials, baseline_auc=0.5)
-    rows = out.orderBy("trial").collect()
-    assert [r["trial"] for r in rows] == [0, 1] and all(r["beats_baseline"] for r in rows)
-    assert len(ml.regularised_grid(trials[1])) == 9
+def test_regularised_grid():
+    assert len(ml.regularised_grid(ml.coarse_grid()[0])) == 9
 
 
 def test_model_store_by_url(spark, tmp_path):
