@@ -131,6 +131,7 @@ COARSE_GRID_MAX_TRIALS = 31
 OVERFIT_SIGNIFICANT_GAP = 0.02
 OVERFIT_MODERATE_GAP = 0.01
 DOMINANT_FEATURE_THRESHOLD = 0.5
+CUSTOM_SHARE_BANDS = (30, 15)
 PROVIDER_IMPORTANCE_THRESHOLD = 0.3
 PATIENT_IMPORTANCE_THRESHOLD = 0.3
 RECALL_MINIMUM = 0.65

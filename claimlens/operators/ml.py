@@ -8,6 +8,7 @@ the boosted-tree presets are mapped onto GBTClassifier parameters.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import os
 from dataclasses import dataclass
@@ -19,11 +20,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimlens.config import (COARSE_GRID, DOMINANT_FEATURE_THRESHOLD, MODEL_PRESETS,
+from claimlens.config import (COARSE_GRID, CUSTOM_SHARE_BANDS, DOMINANT_FEATURE_THRESHOLD, MODEL_PRESETS,
                               OVERFIT_MODERATE_GAP, OVERFIT_SIGNIFICANT_GAP, PATIENT_IMPORTANCE_THRESHOLD,
-                              PROVIDER_IMPORTANCE_THRESHOLD, SEED)
+                              PROVIDER_IMPORTANCE_THRESHOLD, REPORT_FEATURE_PATTERN, SEED)
+from claimlens.functions import rules
 from claimlens.operators import metrics as mt
+from claimlens.operators.oversample import smote
 from claimlens.operators.ranking import global_rank
+from claimlens.sources.materialize import materialize
 
 
 def hash_key(key: str, seed: int = SEED):
@@ -117,6 +121,13 @@ def gbt_pipeline(features: list[str], preset: dict | str = "balanced", label: st
     return Pipeline(stages=[assembler(features), gbt])
 
 
+# M5/M6 on oversampled rows
+def oversampled(train: DataFrame, label: str, features: list[str], key: str, k: int = 3, seed: int = SEED) -> DataFrame:
+    """The training rows and synthetic ones made from them alone: call it after held-out rows have been taken away."""
+    train = materialize(train.select(key, label, *features), "oversample_train")
+    return train.unionByName(smote(train, label, features, key, k, seed))
+
+
 # R9
 def score_batch(model: PipelineModel, df: DataFrame, out: str = "fraud_probability") -> DataFrame:
     """Class-1 probability for every row; partitions replace manual batching."""
@@ -136,14 +147,17 @@ def fit_score_auc(pipeline: Pipeline, train: DataFrame, test: DataFrame, label:
 
 # M8
 def cross_validate(df: DataFrame, features: list[str], make_pipeline, label: str = "label", key: str = "key",
-                   k: int = 5, model_name: str = "model") -> DataFrame:
-    """Per fold: fit on the other folds, score the fold, record AUC and business metrics (long format)."""
+                   k: int = 5, model_name: str = "model", prepare=None) -> DataFrame:
+    """Per fold: fit on the other folds, score the fold, record AUC and business metrics (long format).
+
+    ``prepare`` makes the rows to fit on from a fold's training rows; without it they get class weights."""
+    prepare = prepare or (lambda rows: mt.with_class_weight(rows, label))
     spark = df.sparkSession
     folds = stratified_kfold(df, label, key, k).withColumn("weight", F.lit(1.0))
     folds = folds.persist()
     rows = []
     for f in range(k):
-        train = mt.with_class_weight(folds.where(F.col("fold") != f).drop("weight"), label)
+        train = prepare(folds.where(F.col("fold") != f).drop("weight"))
         test = folds.where(F.col("fold") == f)
         _, scored, auc = fit_score_auc(make_pipeline(), train, test, label)
         rows.append((model_name, f, "roc_auc", float(auc) if auc is not None else None))
@@ -200,6 +214,20 @@ def importance_table(model: PipelineModel, features: list[str]) -> DataFrame:
     return df.withColumn("share_pct", F.col("importance") / total * 100).orderBy(F.col("importance").desc(), "feature")
 
 
+def _custom_share():
+    custom = rules.feature_category(F.col("feature")) == "custom"
+    share = F.coalesce(F.try_divide(F.sum(F.when(custom, F.col("importance"))), F.sum("importance")) * 100, F.lit(0.0))
+    return F.count(F.when(custom, 1)), share
+
+
+def custom_feature_share(importances: DataFrame) -> DataFrame:
+    """features, custom_features, share_pct, band: what the library's own risk features hold of the importance."""
+    number, share = _custom_share()
+    excellent, good = CUSTOM_SHARE_BANDS
+    out = importances.agg(F.count(F.lit(1)).alias("features"), number.alias("custom_features"), share.alias("share_pct"))
+    return out.withColumn("band", F.when(F.col("share_pct") > excellent, "excellent").when(F.col("share_pct") > good, "good").otherwise("minor"))
+
+
 def top_features(importances: DataFrame, n: int = 10) -> DataFrame:
     return importances.orderBy(F.col("importance").desc(), "feature").limit(n)
 
@@ -273,3 +301,29 @@ def model_report(scored: DataFrame, label: str, score: str, importances: DataFra
     feats = top_features(importances, top).select(F.lit("top_features").alias("section"),
                                                   F.col("feature").alias("name"), F.col("share_pct").alias("value"))
     return metric_rows.unionByName(auc).unionByName(best).unionByName(feats)
+
+
+# S11
+def report_sections(scored: DataFrame, label: str, importances: DataFrame, contrast: DataFrame, aucs: dict[str, float], params: dict,
+                    score: str = "fraud_probability") -> DataFrame:
+    """section, name, value of the four reports: executive, features, optimisation, metrics.
+
+    ``contrast`` holds the feature patterns to report (feature, ratio); ``aucs`` the AUC of each candidate."""
+    spark = scored.sparkSession
+
+    def long(section, df, name, value):
+        return df.select(F.lit(section).alias("section"), F.col(name).cast("string").alias("name"), F.col(value).cast("double").alias("value"))
+
+    pattern = F.col("feature").rlike(REPORT_FEATURE_PATTERN)
+    summary = importances.agg(F.count(F.lit(1)).alias("features_analysed"), F.max("share_pct").alias("top_importance_pct"),
+                              F.coalesce(F.sum(F.when(pattern, F.col("share_pct"))), F.lit(0.0)).alias("pattern_share_pct"),
+                              _custom_share()[1].alias("custom_share_pct"))
+    executive = summary.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in summary.columns])))
+    best = max(aucs, key=lambda name: (aucs[name], name))
+    tuned = [(f"auc:{name}", float(a)) for name, a in aucs.items()] + [("final_auc", float(aucs[best]))]
+    tuned += [(f"param:{k}", float(v)) for k, v in params.items()]
+    report = model_report(scored, label, score, importances)
+    parts = [long("executive", executive, "name", "value"), long("features", top_features(importances, 10), "feature", "share_pct"),
+             long("patterns", contrast, "feature", "ratio"), long("optimisation", spark.createDataFrame(tuned, "name string, value double"), "name", "value"),
+             long("metrics", report.where(F.col("section") != "top_features"), "name", "value")]
+    return functools.reduce(DataFrame.unionByName, parts)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from claimlens.functions.exact import MONEY_SUM, as_double, mean_round, std_samp_exact
 from claimlens.operators.quantiles import exact_quantiles, value_counts
+from claimlens.sources.materialize import materialize
 
 AMT = "InscClaimAmtReimbursed"
 
@@ -115,8 +116,9 @@ class ClaimStats:
 
     @classmethod
     def fit(cls, df: DataFrame, accuracy: int | None = None) -> "ClaimStats":
-        prov = provider_stats(df)
-        pat = patient_stats(df)
+        # The quantiles and the join back both read them: written once.
+        prov = materialize(provider_stats(df), "provider_stats")
+        pat = materialize(patient_stats(df), "patient_stats")
         return cls(prov, pat, fit_quantiles(df, prov, pat, accuracy=accuracy))
 
     def save(self, path: str) -> None:

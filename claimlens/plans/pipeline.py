@@ -118,7 +118,7 @@ def finalize_features(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     kept = fx.drop_leaky(kept)
     kept = fx.fill_numeric_zero(kept)
     return kept.select(*[F.col(f"__key_{k}").alias(k) for k in keep],
-                       *[c for c in kept.columns if not c.startswith("__key_")])
+                       *[c for c in kept.columns if not c.startswith("__key_") and c not in keep])
 
 
 def cleaned_claims(spark: SparkSession, sf_dir: str, cfg: EngineConfig = DEFAULT_CONFIG) -> DataFrame:

@@ -137,6 +137,12 @@ def q_stream_score_claims(spark, sf):
     return jobs.run_stream_score(spark, sf)
 
 
+@register("stream_score_model", None)
+def q_stream_score_model(spark, sf):
+    """ST1 by the stored model: equals batch scoring with the same state."""
+    return jobs.run_stream_by_model(spark, sf)
+
+
 @register("stream_daily_summary", with_views(["claims", "predictions"], """
 SELECT * FROM (
 SELECT CAST(c.submission_date AS DATE) AS report_date, count(*) AS total_claims,

@@ -14,14 +14,16 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimlens.config import SEED
+from claimlens.config import MODEL_PRESETS, SEED
 from claimlens.operators import metrics as mt
 from claimlens.operators import ml
+from claimlens.operators import profiling as pf
 from claimlens.operators.oversample import smote
 from claimlens.plans import pipeline as pl
 from claimlens.plans.queries_features import FINAL_FEATURES
 from claimlens.plans.registry import register
 from claimlens.session import ensure_checkpoint_dir
+from claimlens.sources import io
 from claimlens.sources.materialize import materialize
 
 LABEL = "label"
@@ -41,8 +43,9 @@ def training_table(spark, sf) -> DataFrame:
                                  *[F.col(c).cast("double").alias(c) for c in FEATURES]), "training_table")
 
 
-def _split(spark, sf, fraction=0.2):
-    t = materialize(ml.stratified_split(training_table(spark, sf), LABEL, "key", fraction), "split")
+def _split(spark, sf, fraction=0.2, table=None):
+    table = table if table is not None else training_table(spark, sf)
+    t = materialize(ml.stratified_split(table, LABEL, "key", fraction), "split")
     train = t.where(F.col("split") == "train").drop("split")
     test = t.where(F.col("split") == "test").drop("split")
     return train, test
@@ -73,19 +76,56 @@ def q_train_gbt(spark, sf):
     return _scored(model, test)
 
 
+# Plain boosted trees and the oversampled variants carry no class weights.
+GBT_PLAIN = dict(n_estimators=100, max_depth=5, learning_rate=0.1, random_state=SEED)
+
+
+def _balanced(train):
+    return ml.oversampled(train, LABEL, FEATURES, "key")
+
+
+@register("train_gbt_plain", None)
+def q_train_gbt_plain(spark, sf):
+    train, test = _split(spark, sf)
+    return _scored(ml.gbt_pipeline(FEATURES, GBT_PLAIN, weight=None).fit(train), test)
+
+
+@register("train_forest_smote", None)
+def q_train_forest_smote(spark, sf):
+    """M5 on oversampled rows: the training split and synthetic rows of its own, never of a held-out row."""
+    train, test = _split(spark, sf)
+    return _scored(ml.forest_pipeline(FEATURES, weight=None).fit(_balanced(train)), test)
+
+
+@register("train_gbt_smote", None)
+def q_train_gbt_smote(spark, sf):
+    """M6 on oversampled rows."""
+    train, test = _split(spark, sf)
+    return _scored(ml.gbt_pipeline(FEATURES, GBT_MAIN, weight=None).fit(_balanced(train)), test)
+
+
+@register("cross_validate_smote", None)
+def q_cross_validate_smote(spark, sf):
+    """M8 with the rows of each fold's training part oversampled after the fold is left out."""
+    return ml.cross_validate(training_table(spark, sf), FEATURES, lambda: ml.gbt_pipeline(FEATURES, "very_conservative", weight=None), LABEL, "key", 3,
+                             "very_conservative_smote", prepare=_balanced)
+
+
 @register("score_batch", None)
 def q_score_batch(spark, sf):
     """Fit once on the training split, then score every row of the feature table."""
-    train, _ = _split(spark, sf)
+    table = training_table(spark, sf)
+    train, _ = _split(spark, sf, table=table)
     model = ml.gbt_pipeline(FEATURES, "very_conservative").fit(mt.with_class_weight(train, LABEL))
-    return _scored(model, training_table(spark, sf))
+    return _scored(model, table)
 
 
 def scoring_throughput(spark, sf) -> tuple[int, float]:
     """Bench helper: rows scored per second by a fitted model over the whole feature table."""
-    train, _ = _split(spark, sf)
+    table = training_table(spark, sf)
+    train, _ = _split(spark, sf, table=table)
     model = ml.gbt_pipeline(FEATURES, "very_conservative").fit(mt.with_class_weight(train, LABEL))
-    data = training_table(spark, sf).persist()
+    data = table.persist()
     n = data.count()
     t0 = time.time()
     _scored(model, data).write.format("noop").mode("overwrite").save()
@@ -139,6 +179,20 @@ def q_importance_table(spark, sf):
     return _importances(spark, sf)
 
 
+@register("custom_feature_share", None)
+def q_custom_feature_share(spark, sf):
+    """How much of the importance the library's own risk features hold, banded."""
+    return ml.custom_feature_share(_importances(spark, sf))
+
+
+@register("linear_importance", None)
+def q_linear_importance(spark, sf):
+    """A31 by the linear model: absolute coefficients of the standardised features."""
+    train, _ = _split(spark, sf)
+    model = ml.logistic_pipeline(FEATURES).fit(mt.with_balanced_weight(train, LABEL))
+    return ml.importance_table(model, FEATURES)
+
+
 @register("top_features", None)
 def q_top_features(spark, sf):
     return ml.top_features(_importances(spark, sf), 10)
@@ -176,6 +230,31 @@ def q_smote(spark, sf):
     return smote(train, LABEL, FEATURES, "key", k=3, seed=SEED)
 
 
+@register("smote_exact", None)
+def q_smote_exact(spark, sf):
+    """M3 with exact neighbours, searched block by block."""
+    train, _ = _split(spark, sf)
+    return smote(train, LABEL, FEATURES, "key", k=3, seed=SEED, exact=True)
+
+
+@register("report_versions", None)
+def q_report_versions(spark, sf):
+    """Executive, feature, optimisation and metrics sections, published as one version and read back."""
+    table = training_table(spark, sf)
+    train, test = _split(spark, sf, table=table)
+    weighted = materialize(mt.with_class_weight(train, LABEL), "report_train")
+    fitted = {name: ml.fit_score_auc(ml.gbt_pipeline(FEATURES, name), weighted, test, LABEL) for name in ("very_conservative", "conservative")}
+    best = max(fitted, key=lambda name: (fitted[name][2], name))
+    model, scored, _ = fitted[best]
+    scored = materialize(scored.select("key", LABEL, "fraud_probability"), "report_scores")
+    importances = ml.importance_table(model, FEATURES)
+    contrast = pf.label_contrast(table, LABEL, FEATURES).orderBy(F.col("ratio").desc(), "feature").limit(5)
+    sections = ml.report_sections(scored, LABEL, importances, contrast, {name: x[2] for name, x in fitted.items()}, MODEL_PRESETS[best])
+    root = os.path.join(ensure_checkpoint_dir(spark), f"reports-{uuid.uuid4().hex}")
+    io.publish_report(sections, root)
+    return io.latest_report(spark, root).drop("version")
+
+
 @register("model_store", None)
 def q_model_store(spark, sf):
     """Save a fitted model with its feature list, load it back, score with the loaded model."""

@@ -14,6 +14,10 @@ ST3 keeps the dashboard counters per risk level as streaming state and writes
 the complete table each micro-batch to a folder of its own; readers take the
 last finished one, so a table is never seen half-written.
 
+``stream_score_by_model`` is ST1 with fitted state: each micro-batch reads the
+last published version of the claim statistics and the model, projects the
+features and scores by the model, and by the rules where the model cannot judge.
+
 All checkpoints live under the session's shared checkpoint folder.
 """
 
@@ -21,11 +25,17 @@ from __future__ import annotations
 
 import os
 import uuid
+from dataclasses import dataclass
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimlens.operators import metrics as mt
+from claimlens.operators import ml
+from claimlens.operators.stats import ClaimStats
+from claimlens.plans import pipeline as pl
 from claimlens.session import ensure_checkpoint_dir
 from claimlens.sources import operational as op
 from claimlens.sources.materialize import materialize
@@ -100,6 +110,76 @@ def stream_score_claims(spark: SparkSession, source: str, schema: T.StructType,
     q.awaitTermination()
 
 
+# ST1 with fitted state
+@dataclass
+class ScoringState:
+    """What scoring needs of the past: claim statistics, a model and its features, as one published version."""
+    version: int
+    stats: ClaimStats
+    model: PipelineModel
+    features: list[str]
+
+
+def _state_versions(spark: SparkSession, root: str) -> list[int]:
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.join(root, "version=*", "ready", "_SUCCESS"))
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+    return sorted(int(s.getPath().getParent().getParent().getName().split("=")[1]) for s in found or [])
+
+
+def publish_state(spark: SparkSession, root: str, stats: ClaimStats, model: PipelineModel, features: list[str]) -> int:
+    """Store a new version; it counts once its last part, the ``ready`` mark, is written."""
+    version = (_state_versions(spark, root) or [0])[-1] + 1
+    folder = os.path.join(root, f"version={version}")
+    stats.save(os.path.join(folder, "stats"))
+    ml.ModelStore((os.path.join(folder, "model"),)).save(model, features)
+    spark.range(1).coalesce(1).write.mode("overwrite").parquet(os.path.join(folder, "ready"))
+    return version
+
+
+def load_state(spark: SparkSession, root: str) -> ScoringState:
+    """The last whole version."""
+    versions = _state_versions(spark, root)
+    if not versions:
+        raise ValueError(f"no scoring state has been published under {root}")
+    folder = os.path.join(root, f"version={versions[-1]}")
+    model, features = ml.ModelStore((os.path.join(folder, "model"),)).load()
+    return ScoringState(versions[-1], ClaimStats.load(spark, os.path.join(folder, "stats")), model, features)
+
+
+def score_by_model(claims: DataFrame, state: ScoringState) -> DataFrame:
+    """Predictions for merged claim rows (J4): statistics joined, features projected, scored by the stored model.
+
+    A claim of a provider that the statistics do not know has no model probability and takes the rule's."""
+    kept = ("ClaimID", "__submitted", "HospitalStayDays", "PatientClaimCount", "ProviderClaimCount")
+    cleaned = pl.clean_claims(claims.withColumn("__submitted", F.col("ClaimStartDt").cast("timestamp_ntz")))
+    ft = pl.finalize_features(pl.with_claim_features(cleaned, state.stats), keep=kept)
+    ft = ft.select(*kept, *[F.col(c).cast("double").alias(c) for c in state.features if c not in kept])
+    scored = ml.score_batch(state.model, ft)
+
+    def flag(c: str):
+        return F.col(f"ChronicCond_{c}") == 1
+
+    rows = scored.select(
+        F.col("ClaimID").alias("claim_id"), F.col("InscClaimAmtReimbursed").cast("decimal(12,2)").alias("claim_amount"),
+        F.coalesce(F.col("HospitalStayDays").cast("int"), F.lit(0)).alias("hospital_stay_days"),
+        F.greatest(F.col("PatientClaimCount").cast("int"), F.lit(1)).alias("patient_total_claims"), F.col("Age").cast("int").alias("patient_age"),
+        flag("Diabetes").alias("chronic_diabetes"), flag("Heartfailure").alias("chronic_heartfailure"), flag("Cancer").alias("chronic_cancer"),
+        flag("KidneyDisease").alias("chronic_kidney"), F.col("__submitted").alias("submission_date"),
+        F.when(F.coalesce(F.col("ProviderClaimCount"), F.lit(0)) > 0, F.col("fraud_probability")).alias("model_probability"))
+    return op.score_claims(rows, F.col("model_probability")).withColumn("model_version", F.lit(f"state-{state.version}"))
+
+
+def stream_score_by_model(spark: SparkSession, source: str, schema: T.StructType, state_root: str, sink: str, checkpoint: str) -> None:
+    """Score arriving claims with the state that is the last one when their micro-batch begins."""
+    def score(batch: DataFrame, batch_id: int) -> None:
+        state = load_state(batch.sparkSession, state_root)
+        score_by_model(batch, state).write.mode("overwrite").parquet(os.path.join(sink, f"batch={batch_id}"))
+
+    q = (read_stream(spark, source, schema).writeStream.foreachBatch(score).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
 # ST2
 def stream_daily_summary(spark: SparkSession, source: str, schema: T.StructType, sink: str, checkpoint: str,
                          delay: str = "1 day") -> None:
@@ -173,6 +253,29 @@ def run_stream_score(spark: SparkSession, sf_dir: str, files: int | None = None)
     return spark.read.parquet(os.path.join(base, "out")).drop("batch")
 
 
+def fit_state(spark: SparkSession, claims: DataFrame, root: str, preset: str | dict = "very_conservative") -> ScoringState:
+    """Fit statistics and a model on merged claim rows and publish both."""
+    cleaned = materialize(pl.clean_claims(claims), "state_claims")
+    stats = ClaimStats.fit(cleaned)
+    ft = pl.finalize_features(pl.with_claim_features(cleaned, stats))
+    features = [c for c in ft.columns if c != "PotentialFraud"]
+    rows = materialize(ft.select(F.col("PotentialFraud").cast("int").alias("label"), *[F.col(c).cast("double").alias(c) for c in features]), "state_rows")
+    publish_state(spark, root, stats, ml.gbt_pipeline(features, preset).fit(mt.with_class_weight(rows, "label")), features)
+    return load_state(spark, root)
+
+
+def run_stream_by_model(spark: SparkSession, sf_dir: str, files: int | None = None) -> DataFrame:
+    merged = materialize(pl.merged_claims(spark, sf_dir).where(F.col("ClaimID").isNotNull()), "streamed_merged")
+    base = _scratch(spark, "model")
+    state = os.path.join(base, "state")
+    fit_state(spark, merged, state)
+    arriving = merged.drop("PotentialFraud")
+    src = os.path.join(base, "in")
+    feed_and_run(arriving, src, files or _feed_files(arriving), "ClaimStartDt",
+                 lambda: stream_score_by_model(spark, src, arriving.schema, state, os.path.join(base, "out"), os.path.join(base, "ckpt")))
+    return spark.read.parquet(os.path.join(base, "out")).drop("batch")
+
+
 def run_stream_daily(spark: SparkSession, sf_dir: str, files: int | None = None, delay: str = "1 day") -> DataFrame:
     c, p, _ = op.operational_tables(spark, sf_dir, ())
     rows = c.select("claim_id", "submission_date", "claim_amount").join(
