@@ -275,6 +275,20 @@ def q_leaderboard(spark, sf):
     return mt.leaderboard(_models(spark, sf), "label", "score")
 
 
+@register("select_best_scores", with_views(["model_scores"], """SELECT model AS best_model, roc_auc AS best_mean_auc
+FROM (SELECT model, CAST(sum(CAST(pos AS HUGEINT) * (2 * negle - neg)) AS DOUBLE)
+        / (2.0 * CAST(sum(neg) AS DOUBLE) * CAST(sum(pos) AS DOUBLE)) AS roc_auc
+      FROM (SELECT *, sum(neg) OVER (PARTITION BY model ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                  AS negle
+            FROM (SELECT model, score, count(CASE WHEN label = 1 THEN 1 END) AS pos,
+                         count(CASE WHEN label = 0 THEN 1 END) AS neg FROM model_scores GROUP BY model, score) x) y
+      GROUP BY model) a ORDER BY roc_auc DESC, model DESC LIMIT 1"""))
+def q_select_best_scores(spark, sf):
+    """M17 over the AUCs of the two score columns."""
+    aucs = mt.roc_auc(_models(spark, sf), "label", "score", ("model",)).select("model", F.col("roc_auc").alias("value"))
+    return ml.select_best_model(aucs)
+
+
 # --- splits, folds, samples (M1, M2, M7) and CV summary (A32) ------------------------------------
 
 _RANKED = """SELECT claim_id, label,
@@ -290,6 +304,25 @@ def q_stratified_split(spark, sf):
     return ml.stratified_split(s, "label", "claim_id", test_fraction=0.2).select("claim_id", "label", "split")
 
 
+@register("stratified_split_70", with_views(["scored_labels"], """SELECT claim_id, label,
+  CASE WHEN r <= CAST(floor(n_label * 0.3 + 0.5) AS BIGINT) THEN 'test' ELSE 'train' END AS split
+FROM ranked""", extra=[("ranked", _RANKED)]))
+def q_stratified_split_70(spark, sf):
+    """M1, 70/30."""
+    s = _labels_table(spark, sf).select("claim_id", "label")
+    return ml.stratified_split(s, "label", "claim_id", test_fraction=0.3).select("claim_id", "label", "split")
+
+
+@register("nested_split", with_views(["scored_labels"], """SELECT claim_id, label, CASE WHEN r <= n_test THEN 'test'
+  WHEN r2 <= CAST(floor((n_label - n_test) * 0.2 + 0.5) AS BIGINT) THEN 'validation' ELSE 'train' END AS split
+FROM (SELECT *, row_number() OVER (PARTITION BY label, r <= n_test ORDER BY md5(claim_id || ':43')) AS r2
+      FROM (SELECT *, CAST(floor(n_label * 0.2 + 0.5) AS BIGINT) AS n_test FROM ranked) a) b""", extra=[("ranked", _RANKED)]))
+def q_nested_split(spark, sf):
+    """M1, 80/20 and 80/20 of the rest: train, validation, test."""
+    s = materialize(_labels_table(spark, sf).select("claim_id", "label"), "split_labels")
+    return ml.nested_split(s, "label", "claim_id").select("claim_id", "label", "split")
+
+
 @register("stratified_kfold", with_views(["scored_labels"], """SELECT claim_id, label,
   CAST((r - 1) % 5 AS INTEGER) AS fold FROM ranked""", extra=[("ranked", _RANKED)]))
 def q_stratified_kfold(spark, sf):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame
@@ -59,6 +60,27 @@ def q_grid_search_regularised(spark, sf):
     return se.regularised_search(train, valid, FEATURES, ml.coarse_grid(COARSE_GRID_MAX_TRIALS), store, GBT_MAIN, base, LABEL)
 
 
+@register("holdout_tuned", None, long=True)
+def q_holdout_tuned(spark, sf):
+    """M13 with the searches' outcome: the baseline and the best of M11 and M12, judged on the untouched test rows."""
+    train, valid, test = _nested(spark, sf)
+    store = _store(train)
+    _, base = coarse_search(train, valid, store)
+    trials = ml.coarse_grid(COARSE_GRID_MAX_TRIALS)
+    se.regularised_search(train, valid, FEATURES, trials, store, GBT_MAIN, base, LABEL)
+    done = store.load()
+    trials = [json.loads(t) for t in sorted(done)]
+    final = se.best_trial(trials, [done[se.trial_key(t)] for t in trials], base) or GBT_MAIN
+    weighted = materialize(mt.with_class_weight(train, LABEL), "holdout_train")
+    got = se.concurrently(spark, {name: (lambda p=p: ml.fit_score_auc(ml.gbt_pipeline(FEATURES, p, LABEL), weighted, test, LABEL)[2])
+                                  for name, p in (("baseline", GBT_MAIN), ("final", final))})
+    for auc in got.values():
+        if isinstance(auc, Exception):
+            raise auc
+    rows = [(name, se.trial_key(p), float(got[name]), float(got[name]) - float(got["baseline"])) for name, p in (("baseline", GBT_MAIN), ("final", final))]
+    return spark.createDataFrame(rows, "model string, params string, roc_auc double, delta_vs_baseline double")
+
+
 @register("model_comparison", None, long=True)
 def q_model_comparison(spark, sf):
     """The three production presets by mean AUC of three folds."""
