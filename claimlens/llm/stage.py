@@ -7,6 +7,7 @@ and a lost executor costs a re-read, never a recomputation of the whole job.
 
 from __future__ import annotations
 
+import gc
 import uuid
 import zlib
 
@@ -40,6 +41,15 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the shuffle files of finished queries removed now.
+
+    Spark does so once the driver's garbage collector finds their plans unused, which on an idle
+    driver heap may take longer than the next large step."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
