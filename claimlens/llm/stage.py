@@ -8,6 +8,7 @@ and a lost executor costs a re-read, never a recomputation of the whole job.
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 import zlib
 
@@ -44,9 +45,10 @@ def discard(df: DataFrame) -> None:
 def release(spark: SparkSession) -> None:
     """Have the shuffle files of finished queries removed now.
 
-    Spark does so once the driver's garbage collector finds their plans unused, which on an idle
-    driver heap may take longer than the next large step."""
+    Spark does so once the driver's garbage collector finds their plans unused, which on an idle driver heap
+    may take longer than the next large step. Python's references reach the JVM within about a second."""
     gc.collect()
+    time.sleep(1.5)
     spark.sparkContext._jvm.System.gc()
 
 
