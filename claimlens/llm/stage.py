@@ -46,8 +46,10 @@ def release(spark: SparkSession) -> None:
     """Have the shuffle files of finished queries removed now.
 
     Spark does so once the driver's garbage collector finds their plans unused, which on an idle driver heap
-    may take longer than the next large step. Python's references reach the JVM within about a second."""
+    may take longer than the next large step. Python's references reach the JVM within about a second, and
+    the last query's plan stays referenced until another one has run."""
     gc.collect()
+    spark.range(1).count()
     time.sleep(1.5)
     spark.sparkContext._jvm.System.gc()
 
