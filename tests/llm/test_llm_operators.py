@@ -291,6 +291,25 @@ def test_repeated_passages_behind_hubs_with_parts(spark):
     assert not missed, len(missed)
 
 
+def test_exact_passages_behind_many_hubs_with_parts(spark):
+    rng = np.random.default_rng(11)
+    some = lambda n: [f"w{x}" for x in rng.integers(0, 10**12, n)]
+    rows, want = [], []
+    for holders in (10, 40):
+        for _ in range(20):
+            passage, at = some(50), len(rows)
+            for i in range(holders):
+                n = int(rng.integers(40, 45))
+                cut = int(rng.integers(0, 51 - n))
+                rows.append((at + i, " ".join(some(60) + passage[cut:cut + n] + some(60))))
+            at = len(rows)
+            rows += [(at + i, " ".join(some(60) + passage + some(60))) for i in range(2)]
+            want.append((at, at + 1))
+    got = {(r["doc_id"], r["partner_id"]) for r in compact_windows.repeated_passages(table(spark, rows)).collect()}
+    missed = [p for p in want if p not in got]
+    assert not missed, len(missed)
+
+
 def test_alignment_against_the_full_recursion():
     rng = np.random.default_rng(5)
     for _ in range(40):
