@@ -226,6 +226,20 @@ def test_compact_windows_cover_every_interval_once():
             assert [w for w in windows if w[1] == c and w[0] <= i and j <= w[2]] and sum(a <= i <= m < j <= b for a, m, b in windows) == 1
 
 
+@pytest.mark.parametrize("values", [np.zeros(400, np.uint64), np.tile(np.arange(7, dtype=np.uint64) << np.uint64(40), 60),
+                                    np.arange(500, dtype=np.uint64) << np.uint64(40), np.random.default_rng(9).integers(0, 2**63, 900).astype(np.uint64)])
+def test_compact_windows_of_many_texts_and_deep_trees(values):
+    def direct(a, b):
+        if b - a < 20:
+            return set()
+        c = a + int(values[a:b].argmin())
+        return {(a, c, b)} | direct(a, c) | direct(c + 1, b)
+
+    bounds = np.array([0, 0, 150, 155, 380, len(values)])
+    got = list(zip(*(x.tolist() for x in compact_windows.all_windows(values, bounds, 20))))
+    assert len(got) == len(set(got)) and set(got) == set().union(*(direct(a, b) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())))
+
+
 def test_repeated_passages(spark, docs):
     passage = " ".join(f"pass{i}" for i in range(55))
     rows = docs + [(3000, "aa bb " + passage + " cc"), (3001, passage.upper() + " tail " + passage), (3002, " ".join(passage.split()[:40])), (None, passage), (3003, None)]
