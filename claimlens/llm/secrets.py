@@ -10,7 +10,12 @@ is *structured* when its p-value falls to a Benjamini-Hochberg discovery among
 all runs of the corpus; p-values are weighted by length, since the tests have
 little power on short runs. Runs that are not discoveries, and long enough for
 their alphabet (80 bits), pass as random data and become spans of kind
-``random``; runs inside a base span are dropped since that span covers them.
+``random``. Base spans are blanked before runs are looked for, so what a span
+leaves of a run is tested as a run of its own (separators at its ends aside,
+should it have no encoding with them).
+
+Matches are walked in blocks of about the square root of their number, so a text
+of very many matches costs little more than its length.
 
 Positions are code points, end exclusive. Null and empty texts have no spans;
 matches never overlap within a kind (leftmost first); rows are independent, so
@@ -52,6 +57,35 @@ MASK = "[SECRET]"
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _in_blocks(items: Column, reach, walk) -> Column:
+    """The arrays ``walk(block, at, to)`` of consecutive blocks of ``items``, as one array.
+
+    A block begins ``at`` what ``reach(block, at)`` gave for the block before, the first one at 0, and reaches ``to``. An array grows by
+    copying, so a walk over one block costs its square, and all of them about the power 1.5 of the number of items."""
+    state = "struct<at:int,starts:array<int>>"
+
+    def blocks(xs: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(xs))).cast("int")
+        firsts = F.sequence(F.lit(1), F.size(xs), size)
+        return F.transform(firsts, lambda k: F.slice(xs, k, size))
+
+    def walked(bs: Column) -> Column:
+        def step(acc: Column, block: Column) -> Column:
+            to = reach(block, acc["at"])
+            return F.struct(to.alias("at"), F.concat(acc["starts"], F.array(to)).alias("starts")).cast(state)
+
+        begin = F.struct(F.lit(0).alias("at"), F.array(F.lit(0)).alias("starts")).cast(state)
+        return _bound(F.aggregate(bs, begin, step, lambda acc: acc["starts"]), lambda starts: F.flatten(
+            F.transform(bs, lambda block, k: walk(block, F.get(starts, k), F.get(starts, k + 1)))))
+
+    return _bound(items, lambda xs: F.when(F.size(xs) > 0, _bound(blocks(xs), walked)))
+
+
 def _with_positions(text: Column, pattern: str, hits: Column, values: Column, kind: int) -> Column:
     """(start, kind, end, value) of every match, from the lengths of the matches and of the gaps between them."""
     gaps = F.split(text, pattern, -1)
@@ -64,8 +98,11 @@ def _with_positions(text: Column, pattern: str, hits: Column, values: Column, ki
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["long"]).alias("end"), x["value"].alias("value"))
         return F.struct((start + x["long"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out")).cast(f"struct<at:int,out:array<{row}>>")
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{row}>").alias("out"))
-    walked = F.aggregate(zipped, begin, step, lambda acc: acc["out"])
+    def walk(block: Column, at: Column, to: Column) -> Column:
+        begin = F.struct(at.alias("at"), F.array().cast(f"array<{row}>").alias("out")).cast(f"struct<at:int,out:array<{row}>>")
+        return F.aggregate(block, begin, step, lambda acc: acc["out"])
+
+    walked = _in_blocks(zipped, lambda block, at: F.aggregate(block, at, lambda n, x: n + x["gap"] + x["long"]), walk)
     return F.when(F.size(hits) > 0, walked).otherwise(F.array().cast(f"array<{row}>"))
 
 
@@ -99,12 +136,16 @@ def _normal_tail(z: Column) -> Column:
     return t * F.exp(-x * x + total)
 
 
+def _blanks(n: Column) -> Column:
+    return F.repeat(F.lit(" "), n)
+
+
 def with_runs(docs: DataFrame) -> DataFrame:
-    """Adds ``runs``: (start, end, n, p, weight) of each tested run of a known encoding that no base span touches."""
+    """Adds ``runs``: (start, end, n, p, weight) of each tested run of a known encoding outside the base spans."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.select("*", F.regexp_extract_all(text, F.lit(RUN), F.lit(0)).alias("_run"))
-    found = _with_positions(text, RUN, F.col("_run"), F.col("_run"), len(KINDS))
-    free = F.filter(found, lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    blanked = docs.withColumn("_free", masked_text(text, F.col("base"), _blanks, _blanks))
+    out = blanked.select("*", F.regexp_extract_all("_free", F.lit(RUN), F.lit(0)).alias("_run"))
+    free = _with_positions(F.col("_free"), RUN, F.col("_run"), F.col("_run"), len(KINDS))
 
     def encoding(value: Column) -> Column:
         letter = None
@@ -114,6 +155,8 @@ def with_runs(docs: DataFrame) -> DataFrame:
         return letter
 
     known = F.transform(free, lambda s: F.struct(s["start"], s["end"], F.regexp_replace(s["value"], "=+$", "").alias("value")))
+    known = F.transform(known, lambda s: F.struct(s["start"], s["end"], F.when(
+        (F.size("base") > 0) & encoding(s["value"]).isNull(), F.regexp_replace(s["value"], "^[/+=_-]+|[/+_-]+$", "")).otherwise(s["value"]).alias("value")))
     known = F.transform(known, lambda s: F.struct(s["start"], s["end"], s["value"], encoding(s["value"]).alias("alphabet")))
     known = F.filter(known, lambda s: s["alphabet"].isNotNull())
     known = F.transform(known, lambda s: F.struct(
@@ -147,7 +190,7 @@ def with_runs(docs: DataFrame) -> DataFrame:
         p = F.least(F.lit(1.0), F.least(_normal_tail(chi_z), _normal_tail(runs_z), _normal_tail(serial_z)) * 3)
         return F.struct(s["start"], s["end"], n, p.alias("p"), (n / 40).alias("weight"), (n * F.log2(s["a"])).alias("bits"))
 
-    return out.withColumn("runs", F.transform(known, tests)).drop("_run")
+    return out.withColumn("runs", F.transform(known, tests)).drop("_run", "_free")
 
 
 def _bin(run: Column) -> Column:
@@ -184,17 +227,31 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def masked_text(text: Column, spans: Column) -> Column:
-    """The text with each span (overlapping ones as one) replaced by a mask."""
+def masked_text(text: Column, spans: Column, mask=lambda n: F.lit(MASK), more_mask=lambda n: F.lit("")) -> Column:
+    """The text with each span replaced by ``mask(length)``, and what a span adds to one that it overlaps by ``more_mask(length)``.
+
+    Spans are sorted by start. A block of spans works on its own part of the text, since finding a character costs the way to it."""
     state = "struct<at:int,out:array<string>>"
 
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(MASK))
-        return (F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], piece).alias("out")).cast(state))
-                .otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")).cast(state)))
+    def reach(block: Column, at: Column) -> Column:
+        return F.aggregate(block, at, lambda n, s: F.greatest(n, s["end"]))
+
+    def walk(block: Column, begin: Column, to: Column) -> Column:
+        def pieces(part: Column) -> Column:
+            def step(acc: Column, s: Column) -> Column:
+                gap = F.substring(part, acc["at"] - begin + 1, s["start"] - acc["at"])
+                apart = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(gap, mask(s["end"] - s["start"]))).alias("out"))
+                more = F.greatest(s["end"] - acc["at"], F.lit(0))
+                longer = F.struct((acc["at"] + more).alias("at"), F.concat(acc["out"], F.array(more_mask(more))).alias("out"))
+                return F.when(s["start"] >= acc["at"], apart.cast(state)).otherwise(longer.cast(state))
+
+            first = F.struct(begin.alias("at"), F.array().cast("array<string>").alias("out")).cast(state)
+            return F.aggregate(block, first, step, lambda acc: acc["out"])
+
+        return _bound(F.substring(text, begin + 1, to - begin), pieces)
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    joined = F.aggregate(spans, begin, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    end = F.aggregate(spans, F.lit(0), lambda n, s: F.greatest(n, s["end"]))
+    joined = F.concat(F.array_join(_in_blocks(spans, reach, walk), ""), F.substring(text, end + 1, F.length(text)))
     return F.when(F.size(spans) > 0, joined).otherwise(text)
 
 
