@@ -8,10 +8,12 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from claimlens.llm import catalog
+from claimlens.llm import catalog, decontaminate, quality
+from claimlens.llm import words as W
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 KINDS = {"assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 12),
@@ -108,3 +110,75 @@ def test_search_against_all_products(spark, sf, result):
         assert all(score == pytest.approx(exact[i], rel=1e-12) for _, i, score in found)
         hit += len({int(ids[k]) for k in order} & {f[1] for f in found})
     assert hit >= 0.9 * 20 * len(got)
+
+
+def hashes(text):
+    return next(W.word_chunks(pa.array([text or ""], pa.string()))).hash
+
+
+def direct_leaks(rows, items, least=0.5):
+    """Every item aligned with every whole text, by the plain recursion; pairs without a common run of four words left out."""
+    found = {}
+    for i, text in rows:
+        for j, item in items:
+            x, y = hashes(text), hashes(item)
+            n = min(4, len(y))
+            runs = [{tuple(s[k:k + n]) for k in range(len(s) - n + 1)} for s in (x.tolist(), y.tolist())]
+            if not n or not runs[0] & runs[1]:
+                continue
+            best, row = 0, [0] * (len(x) + 1)
+            for word in y:
+                fresh = [0]
+                for k, other in enumerate(x):
+                    fresh.append(max(0, row[k] + (2 if other == word else -1), row[k + 1] - 1, fresh[k] - 1))
+                best, row = max(best, *fresh), fresh
+            if best >= least * 2 * len(y):
+                found[i, j] = best / (2 * len(y))
+    return found
+
+
+def test_leaks_against_every_alignment(spark, sf, result, texts):
+    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    want = direct_leaks(texts.items(), items)
+    assert want and {(r["doc_id"], r["item_id"]): r["score"] for r in result("op7_seeded_alignment")} == pytest.approx(want)
+
+
+def test_edited_leaks_against_every_alignment(spark, sf):
+    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    rng, rows = np.random.default_rng(12), []
+    for k in range(160):
+        own = items[k % len(items)][1].split()
+        for _ in range(int(rng.integers(0, len(own) // 3))):
+            at = int(rng.integers(0, len(own)))
+            own[at:at + int(rng.integers(0, 2))] = [f"e{rng.integers(10**9)}"] * int(rng.integers(0, 2))
+        around = [f"n{x}" for x in rng.integers(0, 10**9, 60)]
+        rows.append((k, " ".join(around[:30] + own + around[30:])))
+    got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = direct_leaks(rows, items)
+    assert 100 < len(want) and {(r["doc_id"], r["item_id"]): r["score"] for r in got.collect()} == pytest.approx(want)
+
+
+def test_hinge_solution_against_projected_steps():
+    """The model's weights minimise the class-weighted hinge loss of the scaled indicators, as plain projected steps on the dual find them."""
+    rng, size = np.random.default_rng(3), 1 << quality.BITS
+    labels = (rng.random(60) < 0.6).astype(int)
+    rows = [np.unique(np.concatenate([rng.integers(0, 12, 4), rng.integers(0, 8, 2) + 12 * c + 4])) for c in labels]
+    held_rows = np.concatenate([np.flatnonzero(labels == c)[4::5] for c in (0, 1)])
+    learn = np.setdiff1d(np.arange(60), held_rows)
+    dense = np.zeros((60, 64))
+    for i, r in enumerate(rows):
+        dense[i, r] = 1
+    counts = [dense[[i for i in learn if labels[i] == c]].sum(0) + 1 for c in (0, 1)]
+    n = [2 + (labels[learn] == c).sum() for c in (0, 1)]
+    ratio = np.log(counts[1] / n[1]) - np.log(counts[0] / n[0])
+    x = dense[learn] * ratio
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = labels[learn] * 2.0 - 1
+    limit = np.where(y > 0, len(learn) / (2 * (y > 0).sum()), len(learn) / (2 * (y < 0).sum()))
+    z = x * y[:, None]
+    gram, dual = z @ z.T, np.zeros(len(y))
+    step = 1 / np.linalg.norm(gram, 2)
+    for _ in range(60_000):
+        dual = np.clip(dual - (gram @ dual - 1) * step, 0, limit)
+    model = quality.fit(rows, labels, epochs=5000)
+    assert len(model.weights) == size and np.allclose(model.weights[:64], (z.T @ dual) * ratio, atol=2e-3)
