@@ -5,7 +5,8 @@ one seed). A first pass over all texts counts in how many documents each seed
 occurs. A seed is rare when that is at most ``rare_share`` of all documents, or
 at most twice the median over its item's occurring seeds, or if it is one of the
 ``FEW`` rarest occurring seeds of a stretch of ``STRETCH`` words of its item: an
-item that leaked into thousands of documents keeps its seeds, edited or not. In a
+item that leaked into thousands of documents keeps its seeds, edited or not. With
+``rare_share=1`` every seed counts as rare and joins by itself. In a
 second pass seeds join passages to items: a rare one by itself, other ones (common
 word runs) where two or more of an item are near each other. Around each group of hits the item is
 aligned with the passage's words (match 2, mismatch -1, gap -1), and the best

@@ -119,8 +119,8 @@ def test_near_duplicates_against_all_pairs(spark, docs):
         if any(x and y and 100 * len(x & y) >= 75 * len(x | y) for x in sa for y in sb):
             a, b = find(a), find(b)
             parent[max(a, b)] = min(a, b)
-    for hot in (0, neardup.HOT):
-        got = neardup.near_duplicates(table(spark, rows), hot).collect()
+    for hot, unlike in ((0, neardup.MOST_UNLIKE), (neardup.HOT, neardup.MOST_UNLIKE), (None, None)):
+        got = neardup.near_duplicates(table(spark, rows), hot, unlike).collect()
         assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == sorted(
             (i, len(shingles(t)), find(i), find(i) == i) for i, t in rows)
     nulls = neardup.near_duplicates(table(spark, [(None, PROSE), (None, PROSE)])).collect()
