@@ -5,6 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from claimlens.operators import metrics as mt
+from claimlens.operators import profiling as pf
 from claimlens.operators.ranking import global_rank, prefix_sums
 
 
@@ -114,3 +115,15 @@ def test_common_prefix_strings_spread_over_slices(spark):
     ranked = global_rank(df, ["v"], "r")
     ref = df.withColumn("r2", F.row_number().over(Window.orderBy("v")))
     assert ranked.join(ref, "v").where("r != r2").count() == 0
+
+
+def test_ttest_of_large_integers(spark):
+    # 4 rows of a billion: the square of their sum is beyond 64 bits, and so is the sum of squares of the second column
+    rows = [(y, 1_000_000_000 + y * i, 3_000_000_000 + i, y + i) for y in (0, 1) for i in range(4)]
+    df = spark.createDataFrame(rows, "label int, a int, b long, small int")
+    got = {r["feature"]: r for r in pf.label_ttest(df, "label", ["a", "b", "small"], with_p=False).collect()}
+    for name, k in (("a", 1), ("b", 2), ("small", 3)):
+        one, zero = ([r[k] for r in rows if r[0] == y] for y in (1, 0))
+        m1, m0 = sum(one) / 4, sum(zero) / 4
+        pooled = (sum((v - m1) ** 2 for v in one) + sum((v - m0) ** 2 for v in zero)) / 6
+        assert abs(got[name]["t_stat"] - (m1 - m0) / (pooled / 2) ** 0.5) < 1e-9 and got[name]["dof"] == 6
