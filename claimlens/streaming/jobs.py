@@ -260,7 +260,7 @@ def fit_state(spark: SparkSession, claims: DataFrame, root: str, preset: str | d
     ft = pl.finalize_features(pl.with_claim_features(cleaned, stats))
     features = [c for c in ft.columns if c != "PotentialFraud"]
     rows = materialize(ft.select(F.col("PotentialFraud").cast("int").alias("label"), *[F.col(c).cast("double").alias(c) for c in features]), "state_rows")
-    publish_state(spark, root, stats, ml.gbt_pipeline(features, preset).fit(mt.with_class_weight(rows, "label")), features)
+    publish_state(spark, root, stats, ml.fit(ml.gbt_pipeline(features, preset), mt.with_class_weight(rows, "label")), features)
     return load_state(spark, root)
 
 
