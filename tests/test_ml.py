@@ -89,3 +89,32 @@ def test_model_store_by_url(spark, tmp_path):
     loaded, feats = store.load()
     assert feats == FEATS and ml.score_batch(loaded, df).count() == 200
     assert not store.features_match(feats, df.drop("feature1"))
+
+
+def test_wide_tables_in_even_files_and_settings_put_back(spark, monkeypatch):
+    from claimlens.session import wide_stages
+    from claimlens.sources import materialize as m
+    monkeypatch.setattr(m, "FILE_ROWS", 100)
+    out = m.materialize(_synthetic(spark, n=950).coalesce(1), "wide")
+    sizes = [r["count"] for r in out.groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 950 and max(sizes) <= 100
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(limit, None)
+    with wide_stages(spark), wide_stages(spark):
+        assert spark.conf.get(limit) == "8000"
+    assert spark.conf.get(limit, None) == before
+    assert ml.forest_pipeline(FEATS).getStages()[1].getCacheNodeIds()
+
+
+def test_neighbours_without_a_join_and_with_repeated_keys(spark):
+    from claimlens.operators.oversample import exact_neighbours, nearest_neighbours
+    points = spark.createDataFrame([(f"k{i}", float(i * i % 101), float(i)) for i in range(60)] + [("k3", 9.0, 3.0), (None, 1.0, 1.0)],
+                                   "key string, a double, b double")
+    near = nearest_neighbours(points, "key", ["a", "b"], 3, projections=8, window=16)
+    # vectors are not sent along with every candidate pair
+    assert "Join" not in near._jdf.queryExecution().executedPlan().toString()
+    rows = lambda df: {(r["key"], r["nn_rank"]): (r["nbr"], r["dist"]) for r in df.collect()}
+    got, want = rows(near), rows(exact_neighbours(points.where("key is not null and not (key = 'k3' and a <> 9.0)").dropDuplicates(["key"]), "key", ["a", "b"], 3))
+    assert got.keys() == want.keys()
+    alone = [k for k in want if not {"k3", k[0]} & {want[k[0], i][0] for i in (1, 2, 3)} and k[0] != "k3"]
+    assert alone and all(got[k] == want[k] for k in alone)
