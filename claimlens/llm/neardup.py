@@ -21,9 +21,10 @@ needs a second look:
    set that occurs anywhere else among these members limits its intersections,
    and a sketch of 1024 bits rules out what is far below the similarity. A
    bucket with more than ``HOT`` such outsiders is first divided by its members'
-   other bands (a pair must share a second band there; at 0.75 it does with
-   probability 0.9999), so large buckets of texts that merely share a passage
-   fall apart. There is no cap on candidates, and both can be turned off.
+   leading shingles (the rarest quarter of each set, of which every linked pair
+   shares one), so large buckets of texts that merely share a passage fall apart
+   and no link is left out. There is no cap on candidates, and both can be
+   turned off.
 
 Links are confirmed on the full sets: 100 * intersection >= 75 * union.
 
@@ -138,12 +139,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _can_link(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, size: those of ``nodes`` that share enough of their set with the others for any link.
-
-    A link at 75 % needs 75 % of either set in common, so a document of whose
-    shingles more than a quarter occur in no other of these documents has none.
-    """
+def _shingle_rows(sets: DataFrame) -> DataFrame:
+    """node, shingle: one row for every shingle of every set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -152,8 +149,17 @@ def _can_link(sets: DataFrame, nodes: DataFrame) -> DataFrame:
                 node = np.repeat(part.column(0).to_numpy(), [len(x) for x in found])
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(found))], ["node", "shingle"])
 
+    return sets.mapInArrow(run, "node long, shingle long")
+
+
+def _can_link(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, size: those of ``nodes`` that share enough of their set with the others for any link.
+
+    A link at 75 % needs 75 % of either set in common, so a document of whose
+    shingles more than a quarter occur in no other of these documents has none.
+    """
     own = staged(sets.join(nodes, "node", "left_semi"), "own")
-    rows = staged(own.mapInArrow(run, "node long, shingle long"), "shingles")
+    rows = staged(_shingle_rows(own), "shingles")
     common = rows.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("shingle")
     shared = rows.join(staged(common, "common"), "shingle").groupBy("node").agg(F.count("*").alias("shared"))
     size = own.groupBy("node").agg(F.min(F.octet_length("shingles") / 8).cast("long").alias("size"))
@@ -197,10 +203,30 @@ def _central_pairs(rows: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
 
 
+def _leading(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, lead: of each set the rarest shingles that it cannot do without.
+
+    A link needs 75 % of either set in common, so if all sets are ordered alike (rarest first), two linked ones
+    share a shingle among the first ``size - ceil(0.75 * size) + 1`` of either. Shingles that occur in one set only
+    come first there and lead to nobody."""
+    # Rows that share a doc_id are compared each, so each has leading shingles of its own.
+    own = sets.join(nodes, "node", "left_semi").withColumn("one", F.xxhash64("node", "shingles")).dropDuplicates(["node", "one"])
+    own = staged(own, "own")
+    rows = staged(_shingle_rows(own.select(F.col("one").alias("node"), "shingles")).withColumnRenamed("node", "one"), "shingles")
+    often = staged(rows.groupBy("shingle").agg(F.count("*").alias("n"), (F.min("one") < F.max("one")).alias("common")), "often")
+    ordered = rows.join(often, "shingle").groupBy("one").agg(F.array_sort(F.collect_list(F.struct("common", "n", "shingle"))).alias("all"))
+    first = F.size("all") - F.ceil(F.size("all") * F.lit(PERCENT) / 100).cast("int") + 1
+    lead = F.filter(F.slice("all", F.lit(1), first), lambda x: x["common"])
+    ordered = ordered.select("one", F.transform(lead, lambda x: x["shingle"]).alias("lead"))
+    lead = own.select("node", "one").join(ordered, "one").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("lead"))).alias("lead"))
+    return staged(lead, "lead")
+
+
 def _cross_pairs(rows: DataFrame, heads: DataFrame, sets: DataFrame, hot: int | None, most_unlike: int | None) -> DataFrame:
     """Pairs (a, b), a < b, of bucket members of different components that may link. ``heads``: node, keys (its band keys in order).
 
-    A pair comes from one place only: its first shared band, and in a hot bucket its first two.
+    A pair comes from its first shared band. In a hot bucket it comes from a shared leading shingle, which every
+    linked pair has, so that the division of hot buckets leaves no link out.
     """
     sketched = most_unlike is not None
     by = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
@@ -211,16 +237,17 @@ def _cross_pairs(rows: DataFrame, heads: DataFrame, sets: DataFrame, hot: int |
     named = heads.join(rows.select("node").distinct(), "node", "left_semi")
     named = staged(named.join(_sketches(sets, rows.select("node").distinct()), "node") if sketched else named, "named")
     rows = rows.join(named, "node")
-    place = F.expr("array_position(keys, key)").cast("int")
-    second = F.when(F.col("hot"), F.expr("slice(keys, array_position(keys, key) + 1, size(keys))")).otherwise(F.array(F.lit(None).cast("long")))
-    rows = staged(rows.filter(place > 0).withColumn("other", F.explode(second)).withColumn(
-        "part", F.when(F.col("hot"), F.xxhash64("key", "other")).otherwise(F.col("key"))), "parts")
+    rows = staged(rows.filter(F.array_position("keys", F.col("key")) > 0), "parts")
+    lead = _leading(sets, rows.filter("hot").select("node").distinct()) if hot is not None and not buckets.filter("hot").isEmpty() else None
+    divided = rows.filter("not hot").withColumn("part", F.col("key"))
+    if lead is not None:
+        hot_rows = rows.filter("hot").join(lead, "node").withColumn("part", F.explode("lead")).drop("lead")
+        divided = divided.unionByName(hot_rows.withColumn("part", F.xxhash64("key", "part")))
     columns = ["node", "component", "size", "shared", "keys", *(_LONGS if sketched else [])]
-    outsiders = rows.filter("outside").select("part", *(F.col(c).alias(f"x_{c}") for c in columns))
+    outsiders = divided.filter("outside").select("key", "part", *(F.col(c).alias(f"x_{c}") for c in columns))
     alike = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"x_{c}"))) for c in _LONGS), F.lit(0)) <= most_unlike if sketched else F.lit(True)
-    both = F.array_intersect("keys", "x_keys")
-    first = (F.get(both, F.lit(0)) == F.col("key")) & (~F.col("hot") | (F.get(both, F.lit(1)) == F.col("other")))
-    found = outsiders.join(rows, "part").filter(
+    first = F.get(F.array_intersect("keys", "x_keys"), F.lit(0)) == F.col("key")
+    found = outsiders.join(divided, ["key", "part"]).filter(
         (F.col("x_component") != F.col("component")) & _possible(F.col("size"), F.col("shared"), F.col("x_size"), F.col("x_shared"))
         & alike & first)
     return found.select(F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b")).distinct()
@@ -229,7 +256,7 @@ def _cross_pairs(rows: DataFrame, heads: DataFrame, sets: DataFrame, hot: int |
 def near_duplicates(docs: DataFrame, hot: int | None = HOT, most_unlike: int | None = MOST_UNLIKE) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept, one row for every input row.
 
-    ``hot=None`` divides no bucket by second bands, ``most_unlike=None`` rules nothing out by
+    ``hot=None`` divides no bucket by leading shingles, ``most_unlike=None`` rules nothing out by
     sketches: then every pair that shares a band and that the sizes allow is compared on its full sets.
     """
     profiles = staged(_profiles(docs), "profiles")

@@ -103,6 +103,18 @@ def test_scores_of_odd_rows(spark):
     assert lattice.score_texts(table(spark, []), public_tokenizers.path("piece_bpe_32k.model")).count() == 0
 
 
+def test_hot_buckets_lose_no_pair(spark):
+    # 1 and 2 share one band only; 4 stands for two rows of one doc_id, one of them like 5
+    sets = [(1, range(100)), (2, range(5, 105)), (3, range(500, 600)), (4, range(700, 800)), (4, range(900, 1300)), (5, range(703, 803))]
+    sets = spark.createDataFrame([(n, bytearray(np.array(s, "<u8").tobytes())) for n, s in sets], "node long, shingles binary")
+    rows = spark.createDataFrame([(7, n, n, 100, 97) for n in range(1, 6)], "key long, node long, component long, size long, shared long")
+    heads = spark.createDataFrame([(n, [7, 10 + n]) for n in range(1, 6)], "node long, keys array<long>")
+    for hot in (0, neardup.HOT, None):
+        got = {tuple(r) for r in neardup._cross_pairs(rows, heads, sets, hot, None).collect()}
+        assert {(1, 2), (4, 5)} <= got
+        assert hot != 0 or not got & {(1, 3), (2, 3), (3, 4), (3, 5)}  # divided
+
+
 def test_near_duplicates_against_all_pairs(spark, docs):
     rows = docs + [(1000 + (i or 0), t) for i, t in ODD if i]
     texts = {}
