@@ -118,3 +118,15 @@ def test_neighbours_without_a_join_and_with_repeated_keys(spark):
     assert got.keys() == want.keys()
     alone = [k for k in want if not {"k3", k[0]} & {want[k[0], i][0] for i in (1, 2, 3)} and k[0] != "k3"]
     assert alone and all(got[k] == want[k] for k in alone)
+
+
+def test_exact_neighbours_where_products_round(spark):
+    # far from the origin a distance by products is off by more than the distances themselves; ties go to the smaller key
+    from claimlens.operators.oversample import exact_neighbours
+    rng = np.random.default_rng(5)
+    values = 1e8 + rng.integers(0, 4, size=(300, 3)) / 8.0
+    points = spark.createDataFrame([(f"k{i:03}", *map(float, v)) for i, v in enumerate(values)], "key string, a double, b double, c double")
+    got = {(r["key"], r["nn_rank"]): (r["nbr"], r["dist"]) for r in exact_neighbours(points, "key", ["a", "b", "c"], 3, block_rows=100).collect()}
+    for i, v in enumerate(values):
+        near = sorted((float(np.sqrt(((v - w) ** 2).sum())), f"k{j:03}") for j, w in enumerate(values) if j != i)[:3]
+        assert [got[f"k{i:03}", n] for n in (1, 2, 3)] == [(name, dist) for dist, name in near]
