@@ -56,10 +56,12 @@ DISCOUNT = 0.75
 EM_ROUNDS = 3
 COMPONENTS = 6
 FLUSH = 400_000
+WORDS_AT_ONCE = 60_000  # whose lattices are computed together: words of one length share each step
 END = b""  # the end token's key; no word is empty
 MARK = "\u2581"
 _CHARACTERS = 1_114_112  # code points; characters outside the vocabulary share one weight evenly
 _BASE = 0x9E3779B97F4A7C15
+_PLAIN = 650.0  # -log of the least probability that is summed without logarithms; a double holds 708
 _BINS = 64  # of word counts, per doubling
 
 
@@ -112,8 +114,9 @@ class Pieces:
         """Where each key stands in the table, -1 if it is not there."""
         slot = (key & self.mask).astype(np.int64)
         held = self.slot_key[slot]
-        out = np.where(held == key, slot, -1)
-        open_ = np.flatnonzero((held != key) & (held != 0))
+        same = held == key
+        out = np.where(same, slot, -1)
+        open_ = np.flatnonzero(~same & (held != 0))
         while len(open_):
             slot[open_] = (slot[open_] + 1) & int(self.mask)
             held = self.slot_key[slot[open_]]
@@ -134,14 +137,17 @@ class Pieces:
             for j in range(i + 1, min(length, i + self.longest) + 1):
                 key = W.mix(hashes[j, live] - hashes[i, live] * np.uint64(powers[j - i]) + np.uint64(j - i))
                 slot = self._slots(key)
-                found = slot >= 0
-                piece = np.where(found, self.slot_piece[slot], -1)
+                hit = np.flatnonzero(slot >= 0)
+                at = slot[hit]
+                piece = self.slot_piece[at]
                 known = piece >= 0
                 if j == i + 1:
-                    out.append((i, j, live, np.where(known, piece, len(self.pieces))))
+                    every = np.full(len(live), len(self.pieces), piece.dtype)
+                    every[hit[known]] = piece[known]
+                    out.append((i, j, live, every))
                 elif known.any():
-                    out.append((i, j, live[known], piece[known]))
-                live = live[found & self.slot_more[slot]]
+                    out.append((i, j, live[hit[known]], piece[known]))
+                live = live[hit[self.slot_more[at]]]
                 if not len(live):
                     break
         return out
@@ -161,6 +167,8 @@ class Pieces:
     def _forward(self, codes: np.ndarray, expected: np.ndarray | None) -> np.ndarray:
         n, length = codes.shape
         edges = self.edges(codes)
+        if length * -self.logp.min() < _PLAIN:
+            return self._plain_forward(n, length, edges, expected)
         alpha = np.full((length + 1, n), -np.inf)
         alpha[0] = 0
         for i, j, rows, piece in edges:
@@ -174,6 +182,23 @@ class Pieces:
                 expected += np.bincount(piece, np.exp(alpha[i, rows] + onward - alpha[length, rows]), len(expected))
         return alpha[length]
 
+    def _plain_forward(self, n: int, length: int, edges: list, expected: np.ndarray | None) -> np.ndarray:
+        """The same on the probabilities themselves, where no path of so many characters can be too unlikely for a double."""
+        p = np.exp(self.logp)
+        alpha = np.zeros((length + 1, n))
+        alpha[0] = 1
+        weights = [p[piece] for _, _, _, piece in edges]
+        for (i, j, rows, _), weight in zip(edges, weights):
+            alpha[j, rows] += alpha[i, rows] * weight
+        if expected is not None:
+            beta = np.zeros((length + 1, n))
+            beta[length] = 1 / alpha[length]
+            for (i, j, rows, piece), weight in zip(reversed(edges), reversed(weights)):
+                onward = weight * beta[j, rows]
+                beta[i, rows] += onward
+                expected += np.bincount(piece, alpha[i, rows] * onward, len(expected))
+        return np.log(alpha[length])
+
 
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8").lower().split() if text else []  # of bytes: A-Z only, and the six white space characters
@@ -216,12 +241,24 @@ def _held_out(folds: int):
     return F.coalesce(id_remainder("doc_id", folds) == 0, F.lit(False))
 
 
+def _together(batches: Iterator[pa.RecordBatch], rows: int = WORDS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least ``rows``, the last one excepted."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _maximised(types: DataFrame, pieces: Pieces, rounds: int) -> Pieces:
     """Expectation maximisation over word types: each counts once, as each frees the same discount."""
     for _ in range(rounds):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(len(pieces.logp))
-            for batch in batches:
+            for batch in _together(batches):
                 pieces.marginals(batch.column(0).to_pylist(), total)
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["piece", "expected"])
@@ -243,7 +280,7 @@ def _priced(counts: DataFrame, pieces: Pieces, totals: np.ndarray, distinct: np.
     base_total = totals[-1] + 0.1 * (distinct[-1] + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _together(batches):
             words = batch.column(0).to_pylist()
             n = np.stack([batch.column(1 + k).to_numpy() for k in range(components)], 1).astype(float)
             every = n.sum(axis=1)

@@ -87,6 +87,24 @@ def test_lattice_marginal_is_the_sum_over_paths():
     assert np.allclose(pieces.marginals(words), [math.log(paths(lattice.MARK + w.decode())) for w in words])
 
 
+def test_lattice_sums_agree_with_and_without_logarithms(monkeypatch):
+    pieces = lattice.Pieces([lattice.MARK, lattice.MARK + "a", "a", "b", "ab", "ba", "aba"], np.arange(1.0, 8.0))
+    words = [b"a", b"ab", b"ababa", b"bbaab", "aéb".encode(), b"zz", b"z" * 80]  # the last is too unlikely for a double
+    plain, logs = np.zeros(len(pieces.logp)), np.zeros(len(pieces.logp))
+    got = pieces.marginals(words, plain)
+    monkeypatch.setattr(lattice, "_PLAIN", 0.0)
+    assert np.allclose(got, pieces.marginals(words, logs), rtol=1e-12) and np.isfinite(got).all()
+    assert np.allclose(plain, logs, rtol=1e-12)
+
+
+def test_lattice_words_are_taken_many_batches_at_a_time():
+    batches = [pa.RecordBatch.from_arrays([pa.array([b"%d" % i] * 4)], ["word"]) for i in range(5)]
+    got = list(lattice._together(iter(batches), 8))
+    assert [b.num_rows for b in got] == [8, 8, 4]
+    assert [w for b in got for w in b.column(0).to_pylist()] == [w for b in batches for w in b.column(0).to_pylist()]
+    assert list(lattice._together(iter([]))) == []
+
+
 def test_scores_of_odd_rows(spark):
     rows = {}
     got = lattice.score_texts(table(spark, ODD), public_tokenizers.path("piece_bpe_32k.model"), head=20).collect()
