@@ -41,6 +41,7 @@ from claimlens.llm.stage import staged
 
 BLOCK_CHARS = 4 << 20
 POOL_CHARS = 6 << 20
+PART_CHARS = 1 << 18  # of a block, whose pieces are looked up at a time
 _JOIN = 2000  # new pieces in one text for the libraries
 _CUT = re.compile(r"(?<=\S)(?= )")
 _JOINED = re.compile(r"\s |^ ")  # a space that starts no piece
@@ -108,7 +109,7 @@ class PairAligner:
         self.known = {names[k]: i for i, k in enumerate(kept.tolist())}
         self.chars = sum(map(len, self.known))
         self.text = [texts[k] for k in kept.tolist()]  # groups as text; None where the bytes differ
-        stats, begin, pair = (self.stats, self.begin, self.pair) if names else (np.zeros((0, 4), np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64))
+        stats, begin, pair = (self.stats, self.begin, self.pair) if names else (np.zeros((0, 4), np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64))
         self.stats, (self.begin, self.pair) = stats[kept], _gathered(begin, pair, kept)  # A tokens, B tokens, groups, links; an A and a B id in one number for each link
         self.uses = np.zeros(len(kept), np.int64)
 
@@ -127,7 +128,7 @@ class PairAligner:
             solid = [p for p in missing if p and not p[-1].isspace()]
             parts = [solid[i:i + _JOIN] for i in range(0, len(solid), _JOIN)] + [[p] for p in missing if not p or p[-1].isspace()]
             stats, pairs = zip(*(x for part in parts for x in self._learn(part)))
-            self.stats = np.concatenate([self.stats, *stats])
+            self.stats = np.concatenate([self.stats, *stats]).astype(np.int32)
             self.begin = np.concatenate([[0], np.cumsum(self.stats[:, 3])])
             self.pair = np.concatenate([self.pair, *pairs])
             self.uses = np.concatenate([self.uses, np.zeros(len(missing), np.int64)])
@@ -198,9 +199,8 @@ def aligner(path_a: str, path_b: str) -> PairAligner:
     return _aligners[path_a, path_b]
 
 
-def _block(known: PairAligner, ids: list[int | None], texts: list[str | None]) -> tuple:
-    """The row of a block."""
-    known.trim()
+def _numbered(known: PairAligner, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the texts' pieces, one text after the other, and how many each has."""
     cut = [_pieces(t) for t in texts]
     flat = known.numbers([p for own in cut for p in own])
     each = np.array([len(own) for own in cut], np.int64)
@@ -215,6 +215,27 @@ def _block(known: PairAligner, ids: list[int | None], texts: list[str | None]) -
                 cut[i] = []
         flat = known.numbers([p for own in cut for p in own])
         each = np.array([len(own) for own in cut], np.int64)
+    return flat, each
+
+
+def _stretches(texts: list[str | None], chars: int = PART_CHARS) -> Iterator[list[str | None]]:
+    """The texts in order, about ``chars`` characters at a time (one text at least)."""
+    part, size = [], 0
+    for text in texts:
+        part.append(text)
+        size += len(text or "")
+        if size >= chars:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+def _block(known: PairAligner, ids: list[int | None], texts: list[str | None]) -> tuple:
+    """The row of a block."""
+    known.trim()
+    # Pieces as strings take some ten times their characters: only those of a stretch are held at once, of the block their numbers.
+    flat, each = (np.concatenate(x) for x in zip(*(_numbered(known, part) for part in _stretches(texts))))
     to = np.concatenate([[0], np.cumsum(each)])
     numbers = flat.tolist()
     hashes = b"".join(hashlib.sha256(";".join(map(known.text.__getitem__, numbers[a:b])).encode()).digest() if b > a else bytes(32)
@@ -228,7 +249,7 @@ def _block(known: PairAligner, ids: list[int | None], texts: list[str | None]) -
     key, times = np.unique(np.repeat(np.arange(len(each)), each) * width + (np.cumsum(seen) - 1)[flat], return_counts=True)  # a piece once per text, with its times
     doc, piece = key // width, key % width
     begin = np.searchsorted(doc, np.arange(len(each) + 1))
-    upto = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(known.stats[pieces][piece] * times[:, None], axis=0)])
+    upto = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(known.stats[pieces][piece].astype(np.int64) * times[:, None], axis=0)])
     bounds, every = _gathered(known.begin, known.pair, pieces)
     pairs, pair = np.unique(every, return_inverse=True)
     links = np.bincount(pair, weights=np.repeat(total, np.diff(bounds)), minlength=len(pairs)).astype(np.int64)

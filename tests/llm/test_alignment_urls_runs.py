@@ -218,3 +218,17 @@ def test_runs_query(spark, sf, documents):
     short = {i for i, t in documents if len((t or "").split()) < 1500}
     same([r for r in got if r["doc_id"] in short], [brute_document(i, t) for i, t in documents if i in short])
     assert len(got) == len(documents) and sum(r["n_runs"] > 0 for r in got) > 5
+
+
+def test_a_blocks_pieces_are_looked_up_some_at_a_time(monkeypatch):
+    texts = ["one two  three", None, "", "four\u2581five six", "one two", " seven"] * 3
+    ids = list(range(len(texts)))
+    want = token_alignment._block(token_alignment.PairAligner(FILE_A, FILE_B), ids, texts)
+    known, most = token_alignment.PairAligner(FILE_A, FILE_B), []
+    numbers = known.numbers
+    monkeypatch.setattr(known, "numbers", lambda pieces: most.append(len(pieces)) or numbers(pieces))
+    monkeypatch.setattr(token_alignment, "_stretches", lambda texts, whole=token_alignment._stretches: whole(texts, 10))
+    got = token_alignment._block(known, ids, texts)
+    assert max(most) <= 4 < sum(most)
+    assert [got[1], got[2], got[3], got[4]] == [want[1], want[2], want[3], want[4]]  # texts, ids, figures and hashes
+    assert dict(zip(got[10].tolist(), got[11].tolist())) == dict(zip(want[10].tolist(), want[11].tolist()))
