@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from claimlens.operators.oversample import smote
 from claimlens.operators.ranking import slice_column
+from claimlens.session import wide_stages
 from claimlens.sources.materialize import materialize
 
 
@@ -45,3 +46,17 @@ def test_bucketed_table_beyond_the_bucket_limit(spark):
         assert materialize(spark.range(10), "tiny", bucket_by="id", buckets=8).count() == 10
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_fits_task_reads_six_files_at_most(spark, tmp_path):
+    path = str(tmp_path / "files")
+    spark.range(30).repartition(30).write.parquet(path)
+    name, files = "spark.sql.files.minPartitionNum", len(list((tmp_path / "files").glob("*.parquet")))
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "1")
+    try:
+        with wide_stages(spark):
+            assert spark.read.parquet(path).rdd.getNumPartitions() >= files / 6
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") != str(24 << 20)
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
