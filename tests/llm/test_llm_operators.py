@@ -354,6 +354,43 @@ def test_exact_passages_behind_many_hubs_with_parts(spark):
     assert not missed, len(missed)
 
 
+def test_edited_passages_behind_many_hubs_and_versions(spark):
+    rng = np.random.default_rng(13)
+    some = lambda n: [f"w{x}" for x in rng.integers(0, 10**12, n)]
+    rows, want = [], []
+    for _ in range(20):  # edited copies behind ten documents with parts of the passage, of which no two are linked to all
+        passage, at = some(50), len(rows)
+        rows += [(at + i, " ".join(some(60) + passage[i % 3 * 4:i % 3 * 4 + 40] + some(60))) for i in range(10)]
+        at = len(rows)
+        rows += [(at, " ".join(some(60) + passage + some(60))), (at + 1, " ".join(some(60) + edited(passage, rng, [25]) + some(60)))]
+        want.append((at, at + 1))
+    for _ in range(20):  # two versions linked to the first document, which holds all that they share, and to each other
+        passage, at = some(80), len(rows)
+        one, two = edited(passage, rng, [27]), edited(passage, rng, [53])
+        x, y = shingles(" ".join(one)), shingles(" ".join(two))
+        assert len(x & y) >= 0.75 * len(x | y)
+        rows += [(at + i, " ".join(some(60) + v + some(60))) for i, v in enumerate((passage, one, two, one))]
+        want += [(at, at + 1), (at, at + 2), (at, at + 3), (at + 1, at + 2)]
+    got = {(r["doc_id"], r["partner_id"]) for r in compact_windows.repeated_passages(table(spark, rows)).collect()}
+    missed = [p for p in want if p not in got]
+    assert not missed, (len(missed), missed[:5])
+
+
+def test_documents_of_the_same_text_get_one_row_with_the_first(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, text), (5, "else " * 3), (7, text), (9, text), (9, text), (11, "short one"), (12, "short one"), (None, text)]
+    got = [tuple(r)[:6] for r in compact_windows.repeated_passages(table(spark, rows)).collect()]
+    assert sorted(got) == [(5, 0, 60, 7, 0, 60), (5, 0, 60, 9, 0, 60), (7, 0, 60, 5, 0, 60), (9, 0, 60, 5, 0, 60)]
+
+
+def test_all_pairs_of_a_group_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(compact_windows, "BLOCK", 3)
+    rows = spark.createDataFrame([(1, i, 10 * i) for i in range(10)] + [(1, 4, 7), (2, 1, 1), (2, 2, 2), (3, 1, 1)], "key long, doc long, c int")
+    got = sorted((r["hub"], r["hc"], r["doc"], r["c"]) for r in compact_windows._pairs(rows).collect())
+    own = [(i, 10 * i) for i in range(10)] + [(4, 7)]
+    assert got == sorted([(*x, *y) for x in own for y in own if x[0] < y[0]] + [(1, 1, 2, 2)])
+
+
 def test_rests_of_runs_beside_base_spans_and_many_matches(spark):
     rng = np.random.default_rng(12)
     key = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), 60))
