@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from claimlens.llm.stage import staged
 
 BLOCK_CHARS = 4 << 20
-POOL_CHARS = 6 << 20
+POOL_CHARS = 3 << 20
 PART_CHARS = 1 << 18  # of a block, whose pieces are looked up at a time
 _JOIN = 2000  # new pieces in one text for the libraries
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -297,8 +297,10 @@ def pair_counts(found: DataFrame) -> DataFrame:
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Second pass: the rows of each block's texts."""
+    _aligners.clear()  # what this worker keeps of the first pass
     for batch in batches:
-        for row in batch.to_pylist():
+        for at in range(batch.num_rows):  # a block's arrays take megabytes: one row at a time leaves Arrow
+            row = batch.slice(at, 1).to_pylist()[0]
             n = row["n_docs"]
             total, best = np.array(row["total"] or [], np.int64), np.array(row["best"] or [], bool)
             start, pair = np.frombuffer(row["piece_start"], np.int64), np.frombuffer(row["piece_pair"], np.uint32)

@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 
@@ -232,3 +233,20 @@ def test_a_blocks_pieces_are_looked_up_some_at_a_time(monkeypatch):
     assert max(most) <= 4 < sum(most)
     assert [got[1], got[2], got[3], got[4]] == [want[1], want[2], want[3], want[4]]  # texts, ids, figures and hashes
     assert dict(zip(got[10].tolist(), got[11].tolist())) == dict(zip(want[10].tolist(), want[11].tolist()))
+
+
+def test_second_pass_holds_one_block_and_no_pool(monkeypatch):
+    """Of a batch of blocks one row at a time is made Python's, and what the worker kept of the first pass is let go."""
+    def block(i):
+        known = token_alignment.PairAligner(FILE_A, FILE_B)
+        row = dict(zip([f.split(" ")[0] for f in token_alignment.BLOCK.split(", ")], token_alignment._block(known, [i], [f"some words {i}"])))
+        n = len(row.pop("pairs"))
+        del row["links"]
+        return {**row, "total": [1] * n, "best": [True] * n}
+
+    monkeypatch.setattr(token_alignment, "_aligners", {("a", "b"): None})
+    got = token_alignment._summed(iter([pa.RecordBatch.from_pylist([block(1), block(2)])]))
+    first = next(got)
+    assert not token_alignment._aligners
+    ids = first.column(0).to_pylist() + [i for b in got for i in b.column(0).to_pylist()]
+    assert first.num_rows == 1 and ids == [1, 2]
