@@ -324,9 +324,11 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def align_texts(docs: DataFrame, path_a: str, path_b: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row of RESULT per row of ``docs``; A: a byte-level tokenizers file, B: a sentencepiece model."""
     found = staged(blocks(docs, path_a, path_b, block_chars), "aligned-blocks")
+    # A block's arrays take megabytes, and all rows of a task may go into one Arrow batch: as many parts as blocks, and they stay apart.
+    parts = max(found.count(), 1)
     asked = found.select("block", F.posexplode("pairs").alias("at", "pair"))
     # A group holds the distinct pairs of one block, which its texts bound.
-    answers = (asked.join(pair_counts(found), "pair").groupBy("block")
+    answers = (asked.join(pair_counts(found), "pair").repartition(parts, "block").groupBy("block")
                .agg(F.sort_array(F.collect_list(F.struct("at", "total", "best"))).alias("x"))
                .select("block", F.col("x.total").alias("total"), F.col("x.best").alias("best")))
-    return found.drop("pairs", "links").join(answers, "block", "left").mapInArrow(_summed, RESULT)
+    return found.drop("pairs", "links").repartition(parts, "block").join(answers, "block", "left").mapInArrow(_summed, RESULT)

@@ -250,3 +250,11 @@ def test_second_pass_holds_one_block_and_no_pool(monkeypatch):
     assert not token_alignment._aligners
     ids = first.column(0).to_pylist() + [i for b in got for i in b.column(0).to_pylist()]
     assert first.num_rows == 1 and ids == [1, 2]
+
+
+def test_second_pass_deals_its_blocks_to_as_many_parts(spark):
+    """All rows of a task may go into one Arrow batch, so blocks of megabytes are not put together."""
+    rows = [(i, f"some words {i}") for i in range(60)]
+    got = token_alignment.align_texts(table(spark, rows).coalesce(1), FILE_A, FILE_B, block_chars=50)
+    assert got.rdd.getNumPartitions() >= 10
+    same(got.collect(), brute_alignment(rows))
