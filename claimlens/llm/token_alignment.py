@@ -42,6 +42,7 @@ from claimlens.llm.stage import staged
 BLOCK_CHARS = 4 << 20
 POOL_CHARS = 3 << 20
 PART_CHARS = 1 << 18  # of a block, whose pieces are looked up at a time
+FILE_BLOCKS = 4  # written to a file: Spark reads thousands of rows of a file at once
 _JOIN = 2000  # new pieces in one text for the libraries
 _CUT = re.compile(r"(?<=\S)(?= )")
 _JOINED = re.compile(r"\s |^ ")  # a space that starts no piece
@@ -237,8 +238,7 @@ def _block(known: PairAligner, ids: list[int | None], texts: list[str | None]) -
     # Pieces as strings take some ten times their characters: only those of a stretch are held at once, of the block their numbers.
     flat, each = (np.concatenate(x) for x in zip(*(_numbered(known, part) for part in _stretches(texts))))
     to = np.concatenate([[0], np.cumsum(each)])
-    numbers = flat.tolist()
-    hashes = b"".join(hashlib.sha256(";".join(map(known.text.__getitem__, numbers[a:b])).encode()).digest() if b > a else bytes(32)
+    hashes = b"".join(hashlib.sha256(";".join(map(known.text.__getitem__, flat[a:b].tolist())).encode()).digest() if b > a else bytes(32)
                       for a, b in zip(to[:-1].tolist(), to[1:].tolist()))
     seen = np.zeros(len(known.text), bool)
     seen[flat] = True
@@ -249,14 +249,20 @@ def _block(known: PairAligner, ids: list[int | None], texts: list[str | None]) -
     key, times = np.unique(np.repeat(np.arange(len(each)), each) * width + (np.cumsum(seen) - 1)[flat], return_counts=True)  # a piece once per text, with its times
     doc, piece = key // width, key % width
     begin = np.searchsorted(doc, np.arange(len(each) + 1))
-    upto = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(known.stats[pieces][piece].astype(np.int64) * times[:, None], axis=0)])
+    del flat, key
+    stats = np.empty((len(each), 4), np.int64)
+    for k in range(4):  # one figure at a time: an array of all four takes sixteen megabytes and more
+        upto = np.concatenate([[0], np.cumsum(known.stats[pieces, k][piece] * times)])
+        stats[:, k] = upto[begin[1:]] - upto[begin[:-1]]
+    # Narrow arrays from here on: those of the pairs come beside them.
+    begin, piece, times = begin.astype(np.int64).tobytes(), piece.astype(np.uint32).tobytes(), times.astype(np.uint32).tobytes()
+    del doc, upto
     bounds, every = _gathered(known.begin, known.pair, pieces)
     pairs, pair = np.unique(every, return_inverse=True)
     links = np.bincount(pair, weights=np.repeat(total, np.diff(bounds)), minlength=len(pairs)).astype(np.int64)
     valid = np.array([i is not None for i in ids], bool)
     return (uuid.uuid4().hex, len(each), np.array([i or 0 for i in ids], np.int64).tobytes() + valid.tobytes(),
-            (upto[begin[1:]] - upto[begin[:-1]]).tobytes(), hashes, begin.astype(np.int64).tobytes(), piece.astype(np.uint32).tobytes(),
-            times.astype(np.uint32).tobytes(), bounds.astype(np.int64).tobytes(), pair.astype(np.uint32).tobytes(), pairs, links)
+            stats.tobytes(), hashes, begin, piece, times, bounds.astype(np.int64).tobytes(), pair.astype(np.uint32).tobytes(), pairs, links)
 
 
 def blocks(docs: DataFrame, path_a: str, path_b: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -323,7 +329,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def align_texts(docs: DataFrame, path_a: str, path_b: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row of RESULT per row of ``docs``; A: a byte-level tokenizers file, B: a sentencepiece model."""
-    found = staged(blocks(docs, path_a, path_b, block_chars), "aligned-blocks")
+    found = staged(blocks(docs, path_a, path_b, block_chars), "aligned-blocks", FILE_BLOCKS)
     # A block's arrays take megabytes, and all rows of a task may go into one Arrow batch: as many parts as blocks, and they stay apart.
     parts = max(found.count(), 1)
     asked = found.select("block", F.posexplode("pairs").alias("at", "pair"))

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from claimlens.llm import catalog, runs, token_alignment, url_rules
 
@@ -258,3 +259,12 @@ def test_second_pass_deals_its_blocks_to_as_many_parts(spark):
     got = token_alignment.align_texts(table(spark, rows).coalesce(1), FILE_A, FILE_B, block_chars=50)
     assert got.rdd.getNumPartitions() >= 10
     same(got.collect(), brute_alignment(rows))
+
+
+def test_blocks_are_read_a_few_at_a_time(spark, monkeypatch):
+    """A file holds ``FILE_BLOCKS`` rows of megabytes at most, whatever the size of the task that writes it."""
+    kept, whole = [], token_alignment.staged
+    monkeypatch.setattr(token_alignment, "staged", lambda *x: kept.append(whole(*x)) or kept[-1])
+    rows = [(i, f"some words {i}") for i in range(60)]
+    token_alignment.align_texts(table(spark, rows).coalesce(1), FILE_A, FILE_B, block_chars=50)
+    assert max(r["count"] for r in kept[0].groupBy(F.input_file_name()).count().collect()) <= token_alignment.FILE_BLOCKS
