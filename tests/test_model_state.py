@@ -140,3 +140,32 @@ def test_stream_by_model_equals_batch(spark, merged, tmp_path):
     unknown = both.where(F.pmod(F.xxhash64("Provider"), F.lit(2)) != 0)
     heuristic = rules.heuristic_probability(F.lit(0), F.lit(0), F.lit(0), F.lit(0), F.lit(0))
     assert unknown.where(F.col("fraud_probability") < heuristic).count() == 0 and unknown.select("fraud_probability").distinct().count() <= 96
+
+
+def test_exact_search_sends_a_point_to_few_blocks(spark, monkeypatch):
+    from claimlens.operators import oversample
+
+    kept = {}
+
+    def seen(df, name, *a, **k):
+        kept[name] = materialize(df, name, *a, **k)
+        return kept[name]
+
+    monkeypatch.setattr(oversample, "materialize", seen)
+    rng = np.random.default_rng(5)
+    points = [(f"p{i:04d}", *map(float, rng.normal(size=2) * 1000), float(i % 2)) for i in range(1500)]
+    points += [(f"same{i:02d}", 7.0, 7.0, 0.0) for i in range(90)]  # one place of more points than a block has
+    points += [("twice", 1.0, 2.0, 0.0), ("twice", 900.0, -900.0, 1.0), ("nan", float("nan"), 0.0, 0.0), ("null", None, 0.0, 0.0), ("far", 1e6, 1e6, 0.0)]
+    df = spark.createDataFrame(points, "key string, a double, b double, c double")
+    got = {(r["key"], r["nn_rank"]): (r["nbr"], r["dist"]) for r in exact_neighbours(df, "key", ["a", "b", "c"], 3, block_rows=40).collect()}
+    met = [p for p in points if p[0] not in ("nan", "null")]
+    x, keys = np.array([p[1:] for p in met]), np.array([p[0] for p in met])
+    want = {}
+    for key in set(keys.tolist()):
+        other = np.flatnonzero(keys != key)
+        best = sorted((float(d), n) for row in np.flatnonzero(keys == key) for d, n in zip(np.sqrt(((x[other] - x[row]) ** 2).sum(axis=1)), keys[other]))[:3]
+        want |= {(key, i): (n, d) for i, (d, n) in enumerate(best, 1)}
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) <= 1e-9 * want[k][1] for k in want)
+    sent = kept["exact_own"].selectExpr("sum(size(__to)) AS n").first()
+    assert sent["n"] < 3 * len(met)  # of more than 30 blocks; before, every point was sent to all of them, twice
