@@ -513,3 +513,17 @@ def test_search_counts_repeated_rows_once(spark):
     got = hnsw.nearest(df, df.filter("vec_id in (0, 29)"), k=20).collect()
     for q in (0, 29):
         assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == [i for i in range(30) if i != q][:20]
+
+
+def test_compact_windows_broadcast_no_table(spark, monkeypatch):
+    plans, write = [], compact_windows.staged
+
+    def seen(df, *a, **k):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, *a, **k)
+
+    monkeypatch.setattr(compact_windows, "staged", seen)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[:70] + [f"x{i}-{j}" for j in range(20)] + words[100 + i:160 + i])) for i in range(6)] + [(9, " ".join(words[:70]))] * 2
+    assert compact_windows.repeated_passages(table(spark, rows)).count() > 0
+    assert sum("SortMergeJoin" in p for p in plans) >= 10 and not any("Broadcast" in p for p in plans)
