@@ -130,3 +130,17 @@ def test_exact_neighbours_where_products_round(spark):
     for i, v in enumerate(values):
         near = sorted((float(np.sqrt(((v - w) ** 2).sum())), f"k{j:03}") for j, w in enumerate(values) if j != i)[:3]
         assert [got[f"k{i:03}", n] for n in (1, 2, 3)] == [(name, dist) for dist, name in near]
+
+
+def test_forest_fit_writes_no_node_numbers(spark):
+    from claimlens.session import ensure_checkpoint_dir
+
+    jvm, top = spark.sparkContext._jvm, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ensure_checkpoint_dir(spark))
+    folders = lambda: {s.getPath().toString() for s in top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(
+        jvm.org.apache.hadoop.fs.Path(top.toString() + "/*/rdd-*")) or []}
+    noisy = spark.range(3000).select(F.rand(1).alias("a"), F.rand(2).alias("b"), (F.rand(3) > 0.5).cast("int").alias("label"), F.lit(1.0).alias("weight"))
+    before = folders()
+    forest = ml.forest_pipeline(["a", "b"], trees=2, depth=12)
+    assert forest.getStages()[-1].getCheckpointInterval() == -1 and forest.getStages()[-1].getCacheNodeIds()
+    forest.fit(noisy)
+    assert folders() <= before
